@@ -48,10 +48,15 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; a local one only where it names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder that the session names."""
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, licenses, neardup, packing, secretscan, sharding, topk, toxicity
+from tidewire.llm import decontaminate, htmltext, licenses, neardup, ngramlm, packing, secretscan, sharding, topk, toxicity
 from tidewire.llm.common import small_batches, table
 
 
@@ -34,6 +34,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest(secretscan.scan(table(spark, sf_dir, "documents")))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return ngramlm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return neardup.classes(table(spark, sf_dir, "documents"))
@@ -50,12 +55,23 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -63,9 +79,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_hash_tree_sharding": op3_hash_tree_sharding,
         "op4_decontamination": op4_decontamination,
         "op5_secret_scan": op5_secret_scan,
+        "op6_lm_score": op6_lm_score,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_html_main_text": op9_html_main_text,
         "op10_toxicity": op10_toxicity,
+        "pipeline": pipeline,
     }
 
 
