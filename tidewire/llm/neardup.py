@@ -11,14 +11,15 @@ similarity of the sets reaches the threshold, which is confirmed on the full set
 3. In each list every member is paired with the least one (its pivot), which is linear in
    the list.  Pairs whose signatures agree often enough are confirmed, and the links give
    first components.  Where all of a list is in one component, nothing is left to do.
-4. In the other lists, members outside the pivot's component are paired with all members of
-   other components.  The signature test is part of the join, so what fails it is never
-   a row.  After this every pair of a list was either compared or already in one component.
+4. In the other lists, members outside the pivot's component are compared with all members
+   of other components.  A list is dealt into cells of bounded size, and a cell compares its
+   sets term at a time and returns at most one link for each member and component, so no
+   table of pairs is ever made.
 
 No link between two components is lost by skipping pairs inside one, because the result is
 the component.  A pair at the threshold is missed by the signature with probability below
-1e-4; closer pairs less.  A task never holds a list: joins and grouped minima do it all,
-and what skew there is falls on joins that Spark splits.
+1e-4; closer pairs less.  A task never holds a whole list, and what skew there is falls on
+joins that Spark splits.
 
 Edge cases: documents without words have an empty set and are linked with nothing; with
 fewer words than a shingle the whole sequence is the one shingle; rows with the same id
@@ -41,6 +42,8 @@ from tidewire.llm.components import components
 from tidewire.llm.textbatch import SPACED, Words, mix, window_hashes, word_chunks
 
 COORDINATES, MATCHES = 32, 16
+#: Shingles on either side of a cell, and in all cells that one task takes at once.
+CELL, BUCKET = 400_000, 2_000_000
 _U = np.uint64
 
 
@@ -129,12 +132,8 @@ def _agreements(left: str, right: str) -> Column:
     return F.lit(COORDINATES) - differ
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of representatives whose full sets are similar enough.
-
-    Only texts of documents that are in a pair are read again and carried.
-    """
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
+    """(doc_id, shingles) of the documents in ``wanted``; only their texts are read again."""
     texts = ids_and_texts(docs).join(wanted, "doc_id", "left_semi")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -146,13 +145,66 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
             total += len(sets)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))], ["doc_id", "shingles"])
 
-    sets = map_batches(texts, run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))]))
-    sets = checkpointed(sets)
+    return map_batches(texts, run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))]))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of representatives whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * shared >= rule.percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
 
+def cell_links(outside: list[tuple[int, int, np.ndarray]], members: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links between (id, component, set) of one side and the other, one for each id and other component."""
+    sizes = np.array([len(s) for _, _, s in members])
+    components_of = np.array([c for _, c, _ in members])
+    terms, at = np.unique(np.concatenate([s for _, _, s in members]), return_inverse=True)
+    holders = np.repeat(np.arange(len(members)), sizes)[np.argsort(at, kind="stable")]
+    first = np.searchsorted(np.sort(at), np.arange(len(terms) + 1))
+    out = []
+    for i, component, mine in outside:
+        found = np.searchsorted(terms, mine)
+        found[found == len(terms)] = 0
+        found = found[terms[found] == mine]
+        begin, many = first[found], first[found + 1] - first[found]
+        spots = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
+        shared = np.bincount(holders[spots], minlength=len(members))
+        close = np.flatnonzero((100 * shared >= percent * (len(mine) + sizes - shared)) & (components_of != component))
+        _, one = np.unique(components_of[close], return_index=True)
+        out += [(i, members[k][0]) for k in close[one].tolist()]
+    return out
+
+
+def _cell_links(named: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) from members outside the main component of a list to all others of it."""
+    outside = F.col("component") != F.col("main")
+    sized = named.groupBy("post").agg(F.ceil(F.sum("n") / CELL).cast("long").alias("columns"), F.ceil(F.sum(F.when(outside, F.col("n"))) / CELL).cast("long").alias("rows"))
+    sized = checkpointed(sized)
+    spread = named.join(sized, "post")
+    total = spread.agg(F.sum(F.col("n") * (F.col("rows") + F.when(outside, F.col("columns")).otherwise(0)))).first()[0] or 0
+    buckets = 1 + int(total // BUCKET)
+    filled = spread.join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)))
+    member = filled.select("post", "id", "component", "shingles", F.lit(False).alias("out"), F.explode(F.arrays_zip(every("rows").alias("row"), F.array_repeat(own("columns")[0], F.col("rows").cast("int")).alias("column"))).alias("cell"))
+    strange = filled.where(outside).select("post", "id", "component", "shingles", F.lit(True).alias("out"), F.explode(F.arrays_zip(F.array_repeat(own("rows")[0], F.col("columns").cast("int")).alias("row"), every("columns").alias("column"))).alias("cell"))
+    cells = member.unionByName(strange).select("post", "id", "component", "shingles", "out", F.col("cell.row").alias("row"), F.col("cell.column").alias("column"))
+    cells = cells.withColumn("bucket", F.pmod(F.xxhash64("post", "row", "column"), F.lit(buckets)))
+    percent = rule.percent
+
+    def compare(table: pa.Table) -> pa.Table:
+        sides: dict[tuple, tuple[list, list]] = {}
+        values = table.column("shingles").combine_chunks()
+        offsets, flat = np.asarray(values.offsets), np.asarray(values.values)
+        for k, (post, row, column, i, component, out) in enumerate(zip(*(table.column(c).to_pylist() for c in ("post", "row", "column", "id", "component", "out")))):
+            sides.setdefault((post, row, column), ([], []))[0 if out else 1].append((i, component, flat[offsets[k] : offsets[k + 1]]))
+        links = [link for left, right in sides.values() if left and right for link in cell_links(left, right, percent)]
+        return pa.table([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
+
+    return cells.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
+
+
 def linked(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, n, representative) and components (id, component) of representatives."""
     signed = checkpointed(_signed(docs, rule))
@@ -173,24 +225,18 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
         near = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.id")).join(sketches.alias("y"), F.col("b") == F.col("y.id"))
         return near.where(_agreements("x", "y") >= MATCHES).select("a", "b")
 
-    stars = checkpointed(alike(lists.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
-    links = checkpointed(_confirmed(stars, docs, rule))
+    sets = checkpointed(_sets(docs, lists.select(F.col("id").alias("doc_id")).distinct(), rule))
+    stars = alike(lists.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    links = checkpointed(_confirmed(stars, sets, rule))
     found = components(links)
 
     label = found.select("id", "component")
     named = lists.where("many > 2").join(label, "id", "left").join(label.select(F.col("id").alias("pivot"), F.col("component").alias("main")), "pivot", "left")
     named = named.select("post", "id", F.coalesce("component", "id").alias("component"), F.coalesce("main", "pivot").alias("main"))
-    left_over = named.where("component != main")
-    open_lists = left_over.select("post").distinct()
-    named = checkpointed(named.join(open_lists, "post").join(sketches, "id"))
-    x, y = named.where("component != main").alias("x"), named.alias("y")
-    # a pair inside one component needs no test; of two members outside the main one, the pair is taken once
-    once = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
-    more = x.join(y, (F.col("x.post") == F.col("y.post")) & once & (_agreements("x", "y") >= MATCHES))
-    more = checkpointed(more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
-    if more.limit(1).count():
-        more = more.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        found = components(links.unionByName(_confirmed(more, docs, rule)))
+    open_lists = named.groupBy("post").agg(F.bool_or(F.col("component") != F.col("main")).alias("open")).where("open").select("post")
+    named = checkpointed(named.join(open_lists, "post").join(reps.select("id", "n"), "id"))
+    if named.limit(1).count():
+        found = components(links.unionByName(_cell_links(named, sets, rule)))
 
     classes_of = reps.select("k1", "k2", F.col("n").alias("size"), F.col("id").alias("representative"))
     members = signed.join(classes_of, (signed["k1"] == classes_of["k1"]) & (signed["k2"] == classes_of["k2"]) & (signed["n"] == classes_of["size"]) & (signed["n"] > 0), "left")
