@@ -98,6 +98,7 @@ class _Open:
     inside_word: bool = False
     header: bool = False
     hidden: bool = False
+    begun: bool = False
 
 
 def _opened(tag: str, attributes: str, number: int) -> _Open:
@@ -126,6 +127,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         text = " ".join("".join(pieces).split())
         if text:
+            for o in stack:
+                o.begun = True
             container = [o for o in stack if o.tag not in INLINE]
             tag = container[-1].tag if container else ""
             block = Block(text, links, tag, tuple(o.number for o in container))
@@ -167,7 +170,10 @@ def blocks(page: str) -> list[Block]:
                     if stack[k].tag not in INLINE:
                         break
             number += 1
-            stack.append(_opened(tag, m[4], number))
+            element = _opened(tag, m[4], number)
+            # an article's own header opens it; one in its midst, or outside it, is a part of the page
+            element.header &= not any(o.inside and not o.begun for o in stack)
+            stack.append(element)
     if at < len(page):
         pieces.append(html.unescape(page[at:]))
     close()
@@ -179,9 +185,7 @@ def _score(block: Block, stack: list[_Open]) -> float:
     inside = any(o.inside for o in stack)
     score = w["bias"] + w["per_log_char"] * min(7.0, len(block.text).bit_length())
     score += w["outside"] * any(o.outside for o in stack) + w["outside_word"] * any(o.outside_word for o in stack) + w["hidden"] * any(o.hidden for o in stack)
-    header_at = next((k for k, o in enumerate(stack) if o.header), None)
-    if header_at is not None and not any(o.inside for o in stack[:header_at]):
-        score += w["page_header"]
+    score += w["page_header"] * any(o.header for o in stack)
     score += w["inside"] * inside + w["inside_word"] * any(o.inside_word for o in stack)
     tag = block.tag
     score += w["paragraph"] * (tag in ("p", "blockquote", "pre")) + w["heading"] * (tag in ("h1", "h2", "h3")) + w["list_item"] * (tag == "li")
