@@ -8,6 +8,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.decode.binary import latin, small
 from tidewire.functions.lookups import DNS_TYPES
@@ -85,7 +86,14 @@ def _rdata(data: bytes, kind: int, at: int, size: int) -> tuple[str, str | None]
     return raw[:32].hex(), None
 
 
-_DNS = "struct<id:int,is_query:boolean,rcode:int,questions:array<struct<name:string,type:int,type_name:string>>,answers:array<struct<name:string,type:int,ttl:bigint,data:string,key:string>>,valid:boolean>"
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_INT, _TEXT = T.IntegerType(), T.StringType()
+_QUESTION = _struct(name=_TEXT, type=_INT, type_name=_TEXT)
+_ANSWER = _struct(name=_TEXT, type=_INT, ttl=T.LongType(), data=_TEXT, key=_TEXT)
+_DNS = _struct(id=_INT, is_query=T.BooleanType(), rcode=_INT, questions=T.ArrayType(_QUESTION), answers=T.ArrayType(_ANSWER), valid=T.BooleanType())
 
 
 def _dns_message(data: bytes | None) -> dict | None:
@@ -120,7 +128,8 @@ def dns(payload: bytes) -> dict | None:
     return _dns_message(payload)
 
 
-_TLS = "struct<version:int,handshake_type:int,sni:string,records:array<struct<content_type:int,version:int,length:int>>,cipher_suites:array<string>>"
+_RECORD = _struct(content_type=_INT, version=_INT, length=_INT)
+_TLS = _struct(version=_INT, handshake_type=_INT, sni=_TEXT, records=T.ArrayType(_RECORD), cipher_suites=T.ArrayType(_TEXT))
 
 
 def _hello(body: bytes) -> tuple[str, list[str]]:
@@ -166,7 +175,7 @@ def tls(payload: bytes) -> dict | None:
     return out if out["records"] else None
 
 
-@F.pandas_udf("struct<message_type:int,client_mac:string,hostname:string,requested_ip:string>")
+@F.pandas_udf(_struct(message_type=_INT, client_mac=_TEXT, hostname=_TEXT, requested_ip=_TEXT))
 def dhcp(payloads: pd.Series) -> pd.DataFrame:
     """Client address and options 12, 50 and 53 of BOOTP messages with the DHCP cookie."""
 

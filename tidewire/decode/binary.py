@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _at(offset: int | Column) -> Column:
@@ -45,14 +46,14 @@ def address(data: Column, offset: int | Column, version: int) -> Column:
     return F.when(F.octet_length(piece) == size, F.struct(text.alias("text"), key.alias("key")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ipv6_text(addresses: pd.Series) -> pd.Series:
     import ipaddress
 
     return addresses.map(lambda b: str(ipaddress.IPv6Address(bytes(b))) if b is not None and len(b) == 16 else None)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def word_sum(data: pd.Series) -> pd.Series:
     """Sum of the big-endian 16-bit words, an odd last byte counting as the high one."""
     return data.map(lambda b: None if b is None else int(np.frombuffer(bytes(b) + b"\0" * (len(b) & 1), dtype=">u2").sum(dtype=np.int64)))
