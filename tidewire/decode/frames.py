@@ -25,23 +25,33 @@ EXTENSIONS = (0, 43, 44, 51, 60, 135)
 DNS_PORTS, HTTP_PORTS, TLS_PORTS = (53, 5353, 5355), (80, 8000, 8008, 8080, 8081, 8888, 3128), (443, 465, 636, 853, 993, 995, 8443)
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The rows with further columns that later layers read as they are, not as expressions.
+
+    Every layer's offsets are read many times by the next; a plain projection would be folded
+    into each place that reads it, and the plan would grow by a factor with every layer.  A
+    generator of one row keeps them apart and stays in generated code.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _link(frames: DataFrame) -> DataFrame:
     data, kind = F.col("frame"), F.col("link_type")
-    tagged = [small(data, 12 + 4 * k, 2) for k in range(5)]
-    is_vlan = [F.coalesce(t.isin(*VLAN_TYPES), F.lit(False)) for t in tagged]
-    tags = F.lit(0)
+    tags = F.lit(4)
     for k in range(3, -1, -1):
-        inside = F.lit(True)
-        for j in range(k + 1):
-            inside = inside & is_vlan[j]
-        tags = F.greatest(tags, F.when(inside, k + 1).otherwise(0))
+        tags = F.when(small(data, 12 + 4 * k, 2).isin(*VLAN_TYPES), tags).otherwise(k)
     version = F.shiftright(small(data, F.when(kind.isin(*LOOPBACK), 4).otherwise(0)), 4)
     by_version = F.when(version == 4, IPV4).when(version == 6, IPV6)
-    out = frames.withColumn("_tags", F.when(kind == ETHERNET, tags).otherwise(0))
-    return out.withColumns(
+    out = computed(frames, {"_tags": F.when(kind == ETHERNET, tags).otherwise(0)})
+    out = computed(
+        out,
         {
             "ether_type": F.when(kind == ETHERNET, small(data, 12 + 4 * F.col("_tags"), 2)).when(kind == SLL, small(data, 14, 2)).otherwise(by_version),
             "_net": F.when(kind == ETHERNET, 14 + 4 * F.col("_tags")).when(kind == SLL, 16).when(kind.isin(*LOOPBACK), 4).otherwise(0),
+        },
+    )
+    return out.withColumns(
+        {
             "eth": F.when((kind == ETHERNET) & (F.octet_length(data) >= 14), F.struct(mac(data, 6).alias("src"), mac(data, 0).alias("dst"), small(data, 12, 2).alias("ether_type"))),
             "vlans": F.transform(
                 F.when(F.col("_tags") > 0, F.sequence(F.lit(0), F.col("_tags") - 1)).otherwise(F.array().cast("array<int>")),
@@ -58,10 +68,13 @@ def _link(frames: DataFrame) -> DataFrame:
 
 def _network(df: DataFrame) -> DataFrame:
     data, net, kind = F.col("frame"), F.col("_net"), F.col("ether_type")
-    first = small(data, net)
+    df = computed(df, {"_first": small(data, net)})
+    first = F.col("_first")
     ihl = first.bitwiseAND(F.lit(15)) * 4
     v4 = (kind == IPV4) & (F.shiftright(first, 4) == 4) & (ihl >= 20) & (F.octet_length(data) >= net + ihl)
     v6 = (kind == IPV6) & (F.shiftright(first, 4) == 6) & (F.octet_length(data) >= net + 40)
+    df = computed(df, {"_ip": F.when(v4, 4).when(v6, 6), "_arp": F.coalesce((kind == ARP) & (F.octet_length(data) >= net + 28), F.lit(False))})
+    is_v4, is_v6 = F.col("_ip") == 4, F.col("_ip") == 6
     fragment = small(data, net + 6, 2)
     ipv4 = F.struct(
         ihl.alias("header_length"),
@@ -74,7 +87,7 @@ def _network(df: DataFrame) -> DataFrame:
         small(data, net + 8).alias("ttl"),
         small(data, net + 9).alias("protocol"),
         small(data, net + 10, 2).alias("checksum"),
-        (folded(word_sum(part(data, net, ihl))) == 0xFFFF).alias("checksum_valid"),
+        (folded(word_sum(F.when(is_v4, part(data, net, ihl)))) == 0xFFFF).alias("checksum_valid"),
         address(data, net + 12, 4).alias("src"),
         address(data, net + 16, 4).alias("dst"),
     )
@@ -96,47 +109,76 @@ def _network(df: DataFrame) -> DataFrame:
         mac(data, net + 8 + hw + pl).alias("target_mac"),
         address(data, net + 8 + 2 * hw + pl, 4).alias("target_ip"),
     )
-    out = df.withColumns({"ipv4": F.when(v4, ipv4), "ipv6": F.when(v6, ipv6), "arp": F.when((kind == ARP) & (F.octet_length(data) >= net + 28), arp)})
-    out = out.withColumns({"src_ip": F.coalesce("ipv4.src", "ipv6.src"), "dst_ip": F.coalesce("ipv4.dst", "ipv6.dst"), "ip_protocol": F.coalesce("ipv4.protocol", "ipv6.next_header")})
-    return _extensions(out)
+    out = computed(
+        df,
+        {
+            "ip_protocol": F.when(is_v4, small(data, net + 9)).when(is_v6, small(data, net + 6)),
+            "_at": F.when(is_v4, net + ihl).when(is_v6, net + 40),
+            "_later": F.coalesce(is_v4 & (fragment.bitwiseAND(F.lit(0x1FFF)) != 0), F.lit(False)),
+            "_whole": F.when(is_v4, F.nullif(small(data, net + 2, 2), F.lit(0))).when(is_v6, small(data, net + 4, 2) + 40),
+        },
+    )
+    out = _extensions(out)
+    return out.withColumns(
+        {
+            "ipv4": F.when(is_v4, ipv4),
+            "ipv6": F.when(is_v6, ipv6),
+            "arp": F.when(F.col("_arp"), arp),
+            "src_ip": F.when(is_v4, address(data, net + 12, 4)).when(is_v6, address(data, net + 8, 6)),
+            "dst_ip": F.when(is_v4, address(data, net + 16, 4)).when(is_v6, address(data, net + 24, 6)),
+        }
+    )
 
 
 def _extensions(df: DataFrame) -> DataFrame:
     """Offset and protocol of the transport header; IPv6 extension headers are stepped over, eight at most."""
     data = F.col("frame")
-    header = F.col("ip_protocol")
-    at = F.when(F.col("ipv4").isNotNull(), F.col("_net") + F.col("ipv4.header_length")).when(F.col("ipv6").isNotNull(), F.col("_net") + 40)
-    step = F.struct(header.alias("next"), at.alias("at"), F.lit(False).alias("fragment"))
+    step = F.struct(F.col("ip_protocol").alias("next"), F.col("_at").alias("at"), F.lit(False).alias("fragment"))
 
     def over(s: Column, _: Column) -> Column:
-        goes = F.col("ipv6").isNotNull() & s["next"].isin(*EXTENSIONS) & ~s["fragment"]
+        goes = s["next"].isin(*EXTENSIONS) & ~s["fragment"]
         size = F.when(s["next"] == 44, 8).otherwise((small(data, s["at"] + 1) + 1) * 8)
         later = (s["next"] == 44) & (small(data, s["at"] + 2, 2).bitwiseAND(F.lit(0xFFF8)) != 0)
-        moved = F.struct(small(data, s["at"]).alias("next"), (s["at"] + size).cast("int").alias("at"), later.alias("fragment"))
+        moved = F.struct(small(data, s["at"]).alias("next"), (s["at"] + size).cast("int").alias("at"), F.coalesce(later, F.lit(False)).alias("fragment"))
         return F.when(goes, moved).otherwise(s)
 
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(8)), step, over)
-    fixed = F.struct(header.alias("next"), at.alias("at"), (F.coalesce(F.col("ipv4.fragment_offset"), F.lit(0)) > 0).alias("fragment"))
-    out = df.withColumn("_walk", F.when(F.col("ipv6").isNotNull() & header.isin(*EXTENSIONS), walked).otherwise(fixed))
-    whole = F.coalesce(F.col("_net") + F.coalesce(F.when(F.col("ipv4.total_length") > 0, F.col("ipv4.total_length")), F.col("ipv6.payload_length") + 40), F.octet_length("frame"))
-    return out.withColumns({"_l4": F.col("_walk.at"), "_proto": F.when(~F.col("_walk.fragment"), F.col("_walk.next")), "_end": F.least(whole, F.octet_length("frame"))}).drop("_walk")
+    fixed = F.struct(F.col("ip_protocol").alias("next"), F.col("_at").alias("at"), F.col("_later").alias("fragment"))
+    out = computed(df, {"_walk": F.when((F.col("_ip") == 6) & F.col("ip_protocol").isin(*EXTENSIONS), walked).otherwise(fixed)})
+    length = F.octet_length("frame")
+    out = computed(out, {"_l4": F.col("_walk.at"), "_proto": F.when(~F.col("_walk.fragment"), F.col("_walk.next")), "_end": F.least(F.coalesce(F.col("_net") + F.col("_whole"), length), length)})
+    return out.drop("_walk")
 
 
-def _pseudo(df_proto: int) -> Column:
+def _pseudo(wanted: Column, proto: int) -> Column:
     """Sum of the pseudo header's words."""
-    addresses = F.when(F.col("ipv4").isNotNull(), part(F.col("frame"), F.col("_net") + 12, 8)).otherwise(part(F.col("frame"), F.col("_net") + 8, 32))
-    return word_sum(addresses) + df_proto + (F.col("_end") - F.col("_l4"))
+    net = F.col("_net")
+    addresses = F.when(F.col("_ip") == 4, part(F.col("frame"), net + 12, 8)).otherwise(part(F.col("frame"), net + 8, 32))
+    return word_sum(F.when(wanted, addresses)) + proto + (F.col("_end") - F.col("_l4"))
 
 
 def _transport(df: DataFrame) -> DataFrame:
     data, at = F.col("frame"), F.col("_l4")
     has = lambda proto, size: (F.col("_proto") == proto) & (F.octet_length(data) >= at + size)
+    df = computed(df, {"_layer": F.when(has(6, 20), 6).when(has(17, 8), 17).when(has(1, 8) | has(58, 8), 1)})
+    layer = F.col("_layer")
     header = F.shiftright(small(data, at + 12), 4) * 4
     segment = part(data, at, F.col("_end") - at)
-    valid = lambda proto: folded(word_sum(segment) + _pseudo(proto)) == 0xFFFF
+    ported = layer.isin(6, 17)
+    out = computed(
+        df,
+        {
+            "src_port": F.coalesce(F.when(ported, small(data, at, 2)), F.lit(0)),
+            "dst_port": F.coalesce(F.when(ported, small(data, at + 2, 2)), F.lit(0)),
+            "_body": F.when(layer == 6, at + F.greatest(F.lit(20), header)).when(layer.isNotNull(), at + 8),
+        },
+    )
+    body = F.col("_body")
+    out = computed(out, {"payload": F.when(body.isNotNull(), part(data, body, F.greatest(F.lit(0), F.col("_end") - body)))})
+    valid = lambda proto: folded(word_sum(F.when(layer == proto, segment)) + _pseudo(layer == proto, proto)) == 0xFFFF
     tcp = F.struct(
-        small(data, at, 2).alias("src_port"),
-        small(data, at + 2, 2).alias("dst_port"),
+        F.col("src_port"),
+        F.col("dst_port"),
         uint(data, at + 4, 4).alias("seq"),
         uint(data, at + 8, 4).alias("ack"),
         header.alias("header_length"),
@@ -148,11 +190,11 @@ def _transport(df: DataFrame) -> DataFrame:
     )
     stored = small(data, at + 6, 2)
     udp = F.struct(
-        small(data, at, 2).alias("src_port"),
-        small(data, at + 2, 2).alias("dst_port"),
+        F.col("src_port"),
+        F.col("dst_port"),
         small(data, at + 4, 2).alias("length"),
         stored.alias("checksum"),
-        F.when(stored == 0, F.col("ipv4").isNotNull()).otherwise(valid(17)).alias("checksum_valid"),
+        F.when(stored == 0, F.col("_ip") == 4).otherwise(valid(17)).alias("checksum_valid"),
     )
     icmp = F.struct(
         small(data, at).alias("type"),
@@ -163,15 +205,7 @@ def _transport(df: DataFrame) -> DataFrame:
         (F.col("_proto") == 58).alias("ipv6"),
         name_of(small(data, at), ICMP_TYPES, "type %d").alias("description"),
     )
-    out = df.withColumns({"tcp": F.when(has(6, 20), tcp), "udp": F.when(has(17, 8), udp), "icmp": F.when(has(1, 8) | has(58, 8), icmp)})
-    body = F.when(F.col("tcp").isNotNull(), at + F.greatest(F.lit(20), F.col("tcp.header_length"))).when(F.col("udp").isNotNull() | F.col("icmp").isNotNull(), at + 8)
-    return out.withColumns(
-        {
-            "src_port": F.coalesce("tcp.src_port", "udp.src_port", F.lit(0)),
-            "dst_port": F.coalesce("tcp.dst_port", "udp.dst_port", F.lit(0)),
-            "payload": F.when(body.isNotNull(), part(data, body, F.greatest(F.lit(0), F.col("_end") - body))),
-        }
-    )
+    return out.withColumns({"tcp": F.when(layer == 6, tcp), "udp": F.when(layer == 17, udp), "icmp": F.when(layer == 1, icmp)})
 
 
 def _applications(df: DataFrame) -> DataFrame:
@@ -179,9 +213,9 @@ def _applications(df: DataFrame) -> DataFrame:
     payload = F.col("payload")
     some = F.octet_length(payload) > 0
     port_in = lambda ports: F.col("src_port").isin(*ports) | F.col("dst_port").isin(*ports)
-    udp, tcp = F.col("udp").isNotNull(), F.col("tcp").isNotNull()
+    udp, tcp = F.col("_layer") == 17, F.col("_layer") == 6
     dns_body = F.when(tcp, rest(payload, 2)).otherwise(payload)
-    out = df.withColumn("dhcp", F.when(some & udp & port_in((67, 68)), app.dhcp(payload)))
+    out = df.withColumn("dhcp", F.when(some & udp & port_in((67, 68)), app.dhcp(F.when(some & udp & port_in((67, 68)), payload))))
     out = out.withColumn("ntp", F.when(some & udp & port_in((123,)), app.ntp(payload)))
     out = out.withColumn("dns", F.when(some & (udp | tcp) & port_in(DNS_PORTS), app.dns(F.when(some & port_in(DNS_PORTS), dns_body))))
     out = out.withColumn("http", F.when(some & tcp & F.col("dns").isNull(), app.http(payload)))
@@ -190,10 +224,12 @@ def _applications(df: DataFrame) -> DataFrame:
 
 
 def _summary(df: DataFrame) -> DataFrame:
-    present = lambda c: F.col(c).isNotNull()
+    layer, version = F.coalesce("_layer", F.lit(0)), F.coalesce("_ip", F.lit(0))
+    known = {"arp": F.col("_arp"), "ipv4": version == 4, "ipv6": version == 6, "tcp": layer == 6, "udp": layer == 17, "icmp": layer == 1}
+    present = lambda c: known.get(c, F.col(c).isNotNull())
     protocol = (
         F.when(present("arp"), "ARP")
-        .when(present("icmp"), F.when(F.col("icmp.ipv6"), "ICMPv6").otherwise("ICMP"))
+        .when(present("icmp"), F.when(F.col("_proto") == 58, "ICMPv6").otherwise("ICMP"))
         .when(present("dns"), "DNS")
         .when(present("dhcp"), "DHCP")
         .when(present("ntp"), "NTP")
@@ -222,7 +258,7 @@ def _summary(df: DataFrame) -> DataFrame:
 def decode(frames: DataFrame) -> DataFrame:
     """Raw frames (number, ts_us, link_type, interface, frame, cap_len, orig_len) with all layers beside them."""
     out = _summary(_applications(_transport(_network(_link(frames)))))
-    return out.withColumn("truncated", F.col("orig_len") > F.col("cap_len")).drop("_tags", "_net", "_l4", "_proto", "_end")
+    return out.withColumn("truncated", F.col("orig_len") > F.col("cap_len")).drop("_tags", "_net", "_first", "_ip", "_arp", "_at", "_later", "_whole", "_l4", "_proto", "_end", "_layer", "_body")
 
 
 def to_logical(packets: DataFrame) -> DataFrame:
