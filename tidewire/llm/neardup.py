@@ -44,6 +44,8 @@ from tidewire.llm.textbatch import SPACED, Words, mix, window_hashes, word_chunk
 COORDINATES, MATCHES = 32, 16
 #: Shingles on either side of a cell, and in all cells that one task takes at once.
 CELL, BUCKET = 400_000, 2_000_000
+#: Bits of the filter that keeps texts nobody asks for out of a shuffle; as a table it has a 64th as many rows.
+FILTER_BITS = 1 << 25
 _U = np.uint64
 
 
@@ -132,9 +134,22 @@ def _agreements(left: str, right: str) -> Column:
     return F.lit(COORDINATES) - differ
 
 
+def _among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in ``wanted``.
+
+    A bitmap of id hashes, of at most ``FILTER_BITS`` whatever the input, first keeps out most
+    others where the texts are read; those that slip through go in the exact join.
+    """
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("spot")
+    bit = F.expr("shiftleft(1L, cast(spot & 63 as int))")
+    words = wanted.select(spot).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    maybe = texts.select("*", spot).join(F.broadcast(words), F.shiftright("spot", 6) == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0)
+    return maybe.select(*texts.columns).join(wanted, "doc_id", "left_semi")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, shingles) of the documents in ``wanted``; only their texts are read again."""
-    texts = ids_and_texts(docs).join(wanted, "doc_id", "left_semi")
+    texts = _among(ids_and_texts(docs), wanted)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values, ends, total = [], [0], 0
