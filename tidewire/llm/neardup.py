@@ -138,13 +138,14 @@ def _among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows whose doc_id is in ``wanted``.
 
     A bitmap of id hashes, of at most ``FILTER_BITS`` whatever the input, first keeps out most
-    others where the texts are read; those that slip through go in the exact join.
+    others where the texts are read; those that slip through go in the exact join.  That is
+    an inner join on distinct ids, since a semi-join would be moved below the bitmap.
     """
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("spot")
     bit = F.expr("shiftleft(1L, cast(spot & 63 as int))")
     words = wanted.select(spot).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
     maybe = texts.select("*", spot).join(F.broadcast(words), F.shiftright("spot", 6) == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0)
-    return maybe.select(*texts.columns).join(wanted, "doc_id", "left_semi")
+    return maybe.select(*texts.columns).join(wanted, "doc_id")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
