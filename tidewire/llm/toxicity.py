@@ -44,13 +44,17 @@ class Features:
     """Distinct words of a chunk, as buckets of their whole form and of their n-grams."""
 
     def __init__(self, words: Words) -> None:
-        hashes = words.hashes()
-        distinct, at, self.index = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, at, self.index = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        self.key = distinct
         self.word = (distinct >> np.uint64(64 - 13)).astype(np.int64)
-        starts, ends = words.starts[at], words.ends[at]
-        up, down = _POWERS.upto(len(words.low) + 1)
-        total = np.zeros(len(words.low) + 1, dtype=np.uint64)
-        np.cumsum((words.low.astype(np.uint64) + np.uint64(1)) * up[: len(words.low)], out=total[1:])
+        # the letters of the distinct words alone; a hash of letters is the same at every place
+        size = words.ends[at] - words.starts[at]
+        ends = np.cumsum(size)
+        starts = ends - size
+        low = words.low[np.arange(size.sum()) - np.repeat(starts, size) + np.repeat(words.starts[at], size)]
+        up, down = _POWERS.upto(len(low) + 1)
+        total = np.zeros(len(low) + 1, dtype=np.uint64)
+        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(low)], out=total[1:])
         owner, gram = [np.arange(len(at))], [(mix(distinct ^ np.uint64(77)) >> np.uint64(64 - 14)).astype(np.int64)]
         for n in GRAMS:
             many = np.maximum(ends - starts - n + 1, 0)
@@ -66,6 +70,48 @@ class Features:
     def n(self) -> int:
         return len(self.word)
 
+    @classmethod
+    def joined(cls, parts: list[Features]) -> Features:
+        """The features of several chunks as of one."""
+        out = cls.__new__(cls)
+        shift = np.cumsum([0, *[p.n for p in parts]])
+        out.key, at, place = np.unique(np.concatenate([p.key for p in parts]), return_index=True, return_inverse=True)
+        out.word, out.weight = (np.concatenate([getattr(p, x) for p in parts])[at] for x in ("word", "weight"))
+        out.index = np.concatenate([place[p.index + s] for p, s in zip(parts, shift)])
+        owner = np.concatenate([p.owner + s for p, s in zip(parts, shift)])
+        chosen = np.zeros(shift[-1], bool)
+        chosen[at] = True
+        mine = chosen[owner]
+        out.owner, out.gram = place[owner[mine]], np.concatenate([p.gram for p in parts])[mine]
+        return out
+
+
+@dataclass
+class _Corpus:
+    """Word counts of texts."""
+
+    counts: np.ndarray
+
+    @property
+    def n(self) -> int:
+        return int(self.counts.sum())
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.cumsum(self.counts) - self.counts
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+
+def _corpus(texts: list[str]) -> tuple[_Corpus, Features]:
+    """Chunk by chunk, so that letters of all texts are never expanded at once."""
+    counts, parts = [], []
+    for _, _, words in word_chunks(pa.array(texts, pa.string()), ALNUM, 1 << 20):
+        counts.append(words.counts)
+        parts.append(Features(words))
+    return _Corpus(np.concatenate(counts)), Features.joined(parts)
+
 
 def windows(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, number of words) of all windows; a text without words has one empty window."""
@@ -168,7 +214,7 @@ class Network:
             by_table += by_gates @ self.p[f"wx_{d}"].T
         return g, by_table
 
-    def window_logits(self, words: Words, feats: Features, at: np.ndarray, size: np.ndarray, block: int = 8192) -> np.ndarray:
+    def window_logits(self, feats: Features, at: np.ndarray, size: np.ndarray, block: int = 8192) -> np.ndarray:
         table = np.concatenate([self.embed(feats), np.zeros((1, DIM), _F)])
         out = np.empty(len(at), _F)
         for lo in range(0, len(at), block):
@@ -187,32 +233,36 @@ def _grid(feats: Features, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray
     return index, real.astype(_F)
 
 
-def _clues(words: Words, feats: Features, toxic: np.ndarray) -> np.ndarray:
+def _clues(words: _Corpus, feats: Features, toxic: np.ndarray) -> np.ndarray:
     """For each distinct word, how much more often toxic texts hold its form or one of its n-grams."""
     owners = words.owners()
     n1 = max(1, int(toxic.sum()))
     n0 = max(1, len(toxic) - n1)
 
-    def lift(texts: np.ndarray, bucket: np.ndarray, size: int) -> np.ndarray:
+    def held(texts: np.ndarray, bucket: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """In how many toxic and other texts each bucket is."""
         pairs = np.unique(bucket * len(toxic) + texts)
         hit = toxic[pairs % len(toxic)]
-        k1 = np.bincount(pairs // len(toxic), weights=hit, minlength=size)
-        k0 = np.bincount(pairs // len(toxic), weights=1 - hit, minlength=size)
-        return np.log((k1 + 0.25) / (n1 + 0.5)) - np.log((k0 + 0.25) / (n0 + 0.5)) * 1.0, k1
-
-    clue = np.zeros(feats.n)
-    word_lift, k = lift(owners, feats.index, feats.n)
-    clue = np.where(k >= 2, word_lift, 0)
-    text_word = np.unique(feats.index * len(toxic) + owners)
-    word_of, text_of = text_word // len(toxic), text_word % len(toxic)
+        return np.bincount(pairs // len(toxic), weights=hit, minlength=size), np.bincount(pairs // len(toxic), weights=1 - hit, minlength=size)
+
+    def lift(k1: np.ndarray, k0: np.ndarray) -> np.ndarray:
+        return np.log((k1 + 0.25) / (n1 + 0.5)) - np.log((k0 + 0.25) / (n0 + 0.5))
+
+    k1, k0 = held(owners, feats.index, feats.n)
+    clue = np.where(k1 >= 2, lift(k1, k0), 0)
+    text_word = np.unique(owners * feats.n + feats.index)
+    text_of, word_of = text_word // feats.n, text_word % feats.n
     order = np.argsort(feats.owner, kind="stable")
     own, gram = feats.owner[order], feats.gram[order]
     first = np.searchsorted(own, np.arange(feats.n + 1))
-    many = np.diff(first)[word_of]
-    texts = np.repeat(text_of, many)
-    spots = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[word_of], many)
-    gram_lift, kg = lift(texts, gram[spots], GRAM_BUCKETS)
-    best = np.where(kg >= 4, gram_lift, 0)[gram]
+    g1, g0 = np.zeros(GRAM_BUCKETS), np.zeros(GRAM_BUCKETS)
+    for lo in range(0, len(toxic), 50):  # n-grams of so many texts at a time
+        a, b = np.searchsorted(text_of, [lo, lo + 50])
+        many = np.diff(first)[word_of[a:b]]
+        spots = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[word_of[a:b]], many)
+        k1, k0 = held(np.repeat(text_of[a:b], many), gram[spots], GRAM_BUCKETS)
+        g1, g0 = g1 + k1, g0 + k0
+    best = np.where(g1 >= 4, lift(g1, g0), 0)[gram]
     np.maximum.at(clue, own, best)
     return clue
 
@@ -243,8 +293,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 7)
         net.p["bo"][:] = -3
         return net
     rng = np.random.default_rng(seed)
-    (_, _, words), = word_chunks(pa.array(texts, pa.string()), ALNUM, 1 << 40)
-    feats = Features(words)
+    words, feats = _corpus(texts)
     text, at, size = windows(words.counts, words.first)
     first = np.searchsorted(text, np.arange(len(texts) + 1))
     clue = _clues(words, feats, y)[feats.index] if words.n else np.zeros(0)
@@ -255,7 +304,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 7)
     begin = np.searchsorted(own, np.arange(feats.n + 1))
     for epoch in range(epochs):
         if epoch >= 3:
-            strength = net.window_logits(words, feats, at, size).astype(float)
+            strength = net.window_logits(feats, at, size).astype(float)
         by_strength = np.lexsort((-strength, text))
         chosen = by_strength[first[:-1]]
         clean = np.flatnonzero(y == 0)
@@ -299,7 +348,7 @@ def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
     for lo, hi, words in word_chunks(texts, ALNUM, 1 << 20):
         feats = Features(words)
         text, at, size = windows(words.counts, words.first)
-        logits = net.window_logits(words, feats, at, size).astype(np.float64)
+        logits = net.window_logits(feats, at, size).astype(np.float64)
         first = np.searchsorted(text, np.arange(hi - lo))
         out[lo:hi] = 1 / (1 + np.exp(-np.maximum.reduceat(logits, first)))
     return out
