@@ -18,11 +18,11 @@ def run(df, spark, name, tmp_path):
 
 
 def source(spark, tmp_path):
-    """All packets in order, then one far later so that every window passes."""
+    """All packets in order, then one with addresses far later, so that every window passes."""
     df = packets(spark, SF)
     folder = str(tmp_path / "in")
     df.coalesce(1).write.parquet(folder)
-    late = df.limit(1).withColumn("ts_us", F.col("ts_us") + F.lit(400 * 86_400_000_000))
+    late = df.where("src_ip is not null").limit(1).withColumn("ts_us", F.col("ts_us") + F.lit(400 * 86_400_000_000))
     late.coalesce(1).write.mode("append").parquet(folder)
     return df, traffic.stream(spark, folder, df.schema)
 

@@ -6,7 +6,7 @@ Captures are rotated at a size far below the reader's limit of 2 GB a file.  A f
 leave the task in batches of ``BATCH`` rows.
 
 A file that breaks off gives the frames before the break and a last row with ``error`` set
-and no frame.  Numbers count from 1 in each file.
+and no frame; a file without any bytes gives no row.  Numbers count from 1 in each file.
 """
 
 from __future__ import annotations
@@ -53,10 +53,8 @@ def classic(data: bytes) -> Iterator[Record]:
     order = next((o for o in "<>" if struct.unpack_from(o + "I", data)[0] in MAGIC), None)
     if order is None:
         raise Broken("not a capture")
-    unit = 1_000_000_000 // (1000 * (1_000_000 // MAGIC[struct.unpack_from(order + "I", data)[0]]))
     nanoseconds = MAGIC[struct.unpack_from(order + "I", data)[0]] == 1
     link = struct.unpack_from(order + "I", data, 20)[0] & 0xFFFF
-    del unit
     at = 24
     while at < len(data):
         if at + 16 > len(data):

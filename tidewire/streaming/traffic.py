@@ -48,7 +48,8 @@ def flow_sessions(packets: DataFrame, late: str = "10 seconds") -> DataFrame:
     """One row per flow and idle gap, emitted once the gap has passed.
 
     A reset within a session counts as its end whatever follows, because packets of one
-    micro-batch have no order across tasks.
+    micro-batch have no order across tasks.  Packets without addresses have no flow and do not
+    move the watermark.
     """
     sides = P.conversation_columns()
     forward = sides.pop("from_a")
