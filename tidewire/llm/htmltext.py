@@ -11,6 +11,12 @@ a clear one stands for itself.
 Pages are independent: one Arrow-batched pass, no shuffle.  A page's graph has a few edges
 per block, and flow crosses only where labels change, so the work is linear in practice.
 
+Signs of other parts do not count on what wraps the page: ``html`` and ``body``, the first
+``main`` (else ``article``) itself, an article that is most of it, and elements that hold it and more than half of the
+page's text.  On a page with neither, a wrapper holds a heading of first level, ``nav``,
+``header`` or ``footer`` and more than half of the text; a form may hold a container named
+as content instead.  Below a wrapper the nearer element decides as anywhere else.
+
 Kept text: character references are decoded, white space within a block (``<br>`` too) is
 one blank, blocks are joined in page order by a line break.  Scripts, styles, comments and
 other raw elements are never text.
@@ -49,6 +55,9 @@ OUTSIDE = frozenset("nav footer aside form button menu dialog fieldset head".spl
 INSIDE = frozenset("article main".split())
 #: Class, id and role words of parts that are not the article; a star stands for any ending.
 OUTSIDE_WORDS = "ad ads advert* adsense sponsor* promo promot* banner* cookie* consent gdpr notice* notification* popup modal overlay newsletter* subscri* share sharing social related recommend* sidebar* sidenav menu* nav navbar navigation breadcrumb* footer foot masthead topbar toolbar comment* disqus replies respond login signin signup register search searchform widget* pagination pager copyright legal disclaimer alert* skip toc complementary contentinfo".split()
+#: Before these, the words of a class say what the page has around the element, not what the element is.
+MODIFIERS = frozenset("has no not with without".split())
+LANDMARKS = frozenset("h1 nav header footer".split())
 INSIDE_WORDS = "article post entry story content main body text prose".split()
 
 #: Weights of the classifier, in nats; above zero is content.
@@ -88,7 +97,7 @@ class Block:
     score: float = 0.0
 
 
-@dataclass
+@dataclass(eq=False)
 class _Open:
     tag: str
     number: int
@@ -99,6 +108,18 @@ class _Open:
     header: bool = False
     hidden: bool = False
     begun: bool = False
+    chars: int = 0
+    core: bool = False
+    landmark: bool = False
+    content: bool = False
+
+    def unwrap(self, has_core: bool, total: int) -> None:
+        """Forget signs of other parts on an element that wraps the page."""
+        holds = self.core if has_core else self.landmark or (self.tag == "form" and self.content)
+        if self.tag in ("html", "body") or (self.core and self.inside) or (holds and 2 * self.chars > total):
+            self.outside_word = False
+            self.outside &= self.tag != "form"
+            self.header &= self.tag == "header"
 
 
 def _opened(tag: str, attributes: str, number: int) -> _Open:
@@ -107,7 +128,11 @@ def _opened(tag: str, attributes: str, number: int) -> _Open:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             if name in ("class", "id", "role"):
-                parts = [p.lower() for p in _PART.findall(value)]
+                parts = []
+                for token in value.split():
+                    named = [p.lower() for p in _PART.findall(token)]
+                    if named and named[0] not in MODIFIERS:
+                        parts += named
                 made.inside_word |= any(_IN.fullmatch(p) for p in parts)
                 made.outside_word |= any(_OUT.fullmatch(p) for p in parts)
                 made.header |= "header" in parts and not made.inside_word
@@ -121,19 +146,23 @@ def blocks(page: str) -> list[Block]:
     stack: list[_Open] = []
     out: list[Block] = []
     pieces: list[str] = []
-    links = number = at = 0
+    around: list[tuple[_Open, ...]] = []
+    signs: list[_Open] = []
+    cores: dict[str, list[_Open]] = {}
+    links = number = at = total = 0
 
     def close() -> None:
-        nonlocal links
+        nonlocal links, total
         text = " ".join("".join(pieces).split())
         if text:
+            total += len(text)
             for o in stack:
                 o.begun = True
+                o.chars += len(text)
             container = [o for o in stack if o.tag not in INLINE]
             tag = container[-1].tag if container else ""
-            block = Block(text, links, tag, tuple(o.number for o in container))
-            block.score = _score(block, stack)
-            out.append(block)
+            out.append(Block(text, links, tag, tuple(o.number for o in container)))
+            around.append(tuple(stack))
         pieces.clear()
         links = 0
 
@@ -173,14 +202,38 @@ def blocks(page: str) -> list[Block]:
             element = _opened(tag, m[4], number)
             # an article's own header opens it; one in its midst, or outside it, is a part of the page
             element.header &= not any(o.inside and not o.begun for o in stack)
+            if tag in LANDMARKS:
+                for o in reversed(stack):
+                    if o.landmark:
+                        break
+                    o.landmark = True
+            if element.inside_word and not element.outside_word:
+                for o in reversed(stack):
+                    if o.content:
+                        break
+                    o.content = True
             stack.append(element)
+            if element.inside and tag not in cores:
+                cores[tag] = stack[:]
+            if element.outside or element.outside_word or element.header:
+                signs.append(element)
     if at < len(page):
         pieces.append(html.unescape(page[at:]))
     close()
+    core, article = cores.get("main") or cores.get("article") or [], cores.get("article") or []
+    # an article that makes up most of main is a part of the way down
+    if core and article[: len(core)] == core and 2 * article[-1].chars > core[-1].chars:
+        core = article
+    for o in core:
+        o.core = True
+    for o in signs:
+        o.unwrap(bool(core), total)
+    for block, elements in zip(out, around):
+        block.score = _score(block, elements)
     return out
 
 
-def _score(block: Block, stack: list[_Open]) -> float:
+def _score(block: Block, stack: tuple[_Open, ...]) -> float:
     w = WEIGHTS
     inside = any(o.inside for o in stack)
     score = w["bias"] + w["per_log_char"] * min(7.0, len(block.text).bit_length())
