@@ -87,14 +87,22 @@ _SIGNED = T.StructType(
         T.StructField("n", T.LongType()),
         T.StructField("k1", T.LongType()),
         T.StructField("k2", T.LongType()),
+        T.StructField("_row1", T.LongType()),
+        T.StructField("_row2", T.LongType()),
         *[T.StructField(f"s{i}", T.LongType()) for i in range(4)],
         T.StructField("posts", T.ArrayType(T.LongType())),
     ]
 )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With _row1 and _row2, hashes of id and text, by which rows are known; neither is ever null."""
+    row = [F.col("doc_id").cast("long"), F.col("text").cast("string")]
+    return docs.select("*", F.xxhash64(*row, F.isnull(row[0])).alias("_row1"), F.xxhash64(F.lit(1), *row, F.isnull(row[0])).alias("_row2"))
+
+
 def _signed(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Set size, two hashes of the whole set, one byte per coordinate, and the posting keys."""
+    """Set size, two hashes of the whole set, the row's key, one byte per coordinate, and the posting keys."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = batch.num_rows
@@ -117,9 +125,9 @@ def _signed(docs: DataFrame, rule: Rule) -> DataFrame:
                 sketch[at, i] = mix(least) & _U(255)
         longs = sketch.view("<i8")
         lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * COORDINATES), pa.array(posts.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(np.ascontiguousarray(c)) for c in ints.T], *[pa.array(np.ascontiguousarray(c)) for c in longs.T], lists], [f.name for f in _SIGNED])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(np.ascontiguousarray(c)) for c in ints.T], batch.column("_row1"), batch.column("_row2"), *[pa.array(np.ascontiguousarray(c)) for c in longs.T], lists], [f.name for f in _SIGNED])
 
-    return map_batches(ids_and_texts(docs), run, _SIGNED)
+    return map_batches(_keyed(ids_and_texts(docs)), run, _SIGNED)
 
 
 def _agreements(left: str, right: str) -> Column:
@@ -222,7 +230,7 @@ def _cell_links(named: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def linked(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, n, representative) and components (id, component) of representatives."""
+    """Members (doc_id, n, k1, k2, _row1, _row2, representative) and components (id, component) of representatives."""
     signed = checkpointed(_signed(docs, rule))
     words = signed.where("n > 0")
     reps = words.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(4)], F.first("posts").alias("posts"))
@@ -256,18 +264,45 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
 
     classes_of = reps.select("k1", "k2", F.col("n").alias("size"), F.col("id").alias("representative"))
     members = signed.join(classes_of, (signed["k1"] == classes_of["k1"]) & (signed["k2"] == classes_of["k2"]) & (signed["n"] == classes_of["size"]) & (signed["n"] > 0), "left")
-    return members.select("doc_id", "n", "representative"), found
+    return members.select("doc_id", "n", signed["k1"], signed["k2"], "_row1", "_row2", "representative"), found
 
 
-def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def _named(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Members with their component and whether its name is their id."""
     members, found = linked(docs, rule)
     named = members.join(found.select(F.col("id").alias("representative"), "component"), "representative", "left")
     component = F.coalesce("component", "representative", "doc_id")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return named.select("doc_id", "n", "k1", "k2", "_row1", "_row2", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    return _named(docs, rule).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def drop(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """One document of each component, all columns as they were; of rows with one id, the first by text."""
-    verdicts = classes(docs, rule).where("not kept").select("doc_id").distinct()
-    return docs.join(verdicts, "doc_id", "left_anti") if docs.columns else docs
+    """One row of each component, all columns as they were.
+
+    Of several texts with the id that names the component, the one whose row key is least
+    stays; of equal rows, one.  Rows with a null id go if another row has their set, else one
+    of each set stays.  Rows without words are one document for each id, and all stay where
+    the id is null.
+    """
+    if not docs.columns:
+        return docs
+    nameless = F.col("component_id").isNull()
+    rows = _named(docs, rule).where(~nameless | (F.col("n") > 0))
+    group = ["group", "wordless", "g1", "g2"]
+    rows = rows.select("_row1", "_row2", "kept", F.coalesce("component_id", F.lit(0).cast("long")).alias("group"), (F.col("n") == 0).alias("wordless"), *[F.when(nameless, F.col(f"k{i}")).otherwise(F.lit(0)).alias(f"g{i}") for i in (1, 2)])
+    keys = checkpointed(rows.groupBy("_row1", "_row2", "kept", *group).agg(F.count(F.lit(1)).alias("many")))
+    own = keys.where("kept")
+    torn = own.groupBy(*group).agg(F.min(F.struct("_row1", "_row2")).alias("first"), F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    later = own.join(torn, group).where(F.struct("_row1", "_row2") != F.col("first")).select("_row1", "_row2")
+    gone = keys.where("not kept").select("_row1", "_row2").unionByName(later)
+    repeated = own.where("many > 1").select("_row1", "_row2")
+    keyed = _keyed(docs)
+    stay = keyed.join(gone.unionByName(repeated), ["_row1", "_row2"], "left_anti").select(*docs.columns)
+    if not repeated.limit(1).count():
+        return stay
+    one = keyed.join(repeated.join(later, ["_row1", "_row2"], "left_anti"), ["_row1", "_row2"]).dropDuplicates(["_row1", "_row2"])
+    return stay.unionByName(one.select(*docs.columns))
