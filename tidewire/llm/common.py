@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch that Python gets; bounds a worker's memory whatever the texts' lengths.
-BATCH_ROWS, BATCH_BYTES = 2000, "16m"
+BATCH_ROWS, BATCH_BYTES = 1000, "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +51,28 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """All columns as one struct, so that no name can clash and the text travels once; its text is a string."""
+    text = F.col("text").cast("string").alias("text")
+    return docs.select(F.struct(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="tidewire-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a local one only where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that driver and executors share, as the session names it.
+
+    Where it names none, a session on one machine takes a temporary folder and a cluster is refused.
+    """
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local_dir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ Normalised n-grams of the benchmark form a hash set that is broadcast; every par
 the word windows of its documents against it, checks each hit on the words themselves, and
 reports the hit word ranges and the items they come from.  Documents are never shuffled.
 
-The broadcast is bounded: a benchmark beyond ``limit_bytes`` is split by item into parts
-below the bound, and the documents pass one scan after another, each with one part.
+The broadcast is bounded: a set takes some five times the text of its items, and a benchmark
+beyond ``limit_bytes`` of text is split by item into parts of about that size (an item is one
+row and stays whole).  The documents then pass one scan after another, each with one part
+and each written before the next, so that no worker ever holds two.
 
 A window is ``n`` consecutive words of an item; an item of fewer words, but not none, is one
 window.  Words: A-Z lower-cased, then runs of digits, a-z and everything beyond ASCII.
@@ -25,54 +27,84 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.common import map_batches
+from tidewire.llm.common import boxed, checkpointed, ids_and_texts, map_batches
 from tidewire.llm.textbatch import ALNUM, Words, utf8_parts, window_hashes, word_chunks
 
 WINDOW = 10
 #: Bytes of benchmark text that one broadcast may hold.
-LIMIT_BYTES = 64 << 20
+LIMIT_BYTES = 16 << 20
 _FILTER_BITS = 20
+#: Windows whose items a worker remembers.
+_REMEMBERED = 1000
 
 RANGE = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
 
 
 class NgramSet:
-    """Window hashes of the items, behind a small bitmap; words decide in the end."""
+    """Window hashes of the items, behind a small bitmap, and the words that decide in the end.
+
+    Held as arrays: per word of the items some 6 bytes of text, its bounds and item, and the
+    hash and place of the window that begins there; about 30 bytes a word, whatever repeats.
+    """
 
     def __init__(self, items: list[tuple[str, str]], n: int = WINDOW) -> None:
-        self.owners: dict[bytes, set[str]] = {}
-        hashes: dict[int, list[np.ndarray]] = {}
-        for item, text in items:
-            data, offsets = utf8_parts(pa.array([text], pa.string()))
-            words = Words(data, offsets, ALNUM)
-            size = min(n, words.n)
-            if not size:
-                continue
-            for k, found in window_hashes(words.hashes(), {size}):
-                hashes.setdefault(k, []).append(found)
-                for i in range(len(found)):
-                    self.owners.setdefault(words.text(i, i + k), set()).add(item)
-        self.hashes = {k: np.unique(np.concatenate(v)) for k, v in hashes.items()}
-        self.maps = {}
-        for k, v in self.hashes.items():
+        self.items = [item for item, _ in items]
+        low, starts, ends, owner = [], [], [], []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        n_bytes = n_words = 0
+        for lo, _, words in word_chunks(pa.array([text for _, text in items], pa.string()), ALNUM):
+            own, sizes = words.owners(), np.minimum(n, words.counts)
+            for k, hashes in window_hashes(words.hashes(), set(sizes[sizes > 0].tolist())):
+                first = own[: len(hashes)]
+                at = np.flatnonzero((first == own[k - 1 :]) & (sizes[first] == k))
+                found.setdefault(k, []).append((hashes[at], (at + n_words).astype(np.uint32)))
+            low.append(words.low)
+            starts.append((words.starts + n_bytes).astype(np.uint32))
+            ends.append((words.ends + n_bytes).astype(np.uint32))
+            owner.append((own + lo).astype(np.uint32))
+            n_bytes, n_words = n_bytes + len(words.low), n_words + words.n
+        joined = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((low, np.uint8), (starts, np.uint32), (ends, np.uint32), (owner, np.uint32))]
+        self.low, self.starts, self.ends, self.owner = joined
+        #: By window size: distinct hashes, where the places of each begin, and the places (first words).
+        self.windows, self.maps = {}, {}
+        for k, parts in found.items():
+            hashes, places = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            distinct, first = np.unique(hashes[order], return_index=True)
+            self.windows[k] = (distinct, np.append(first, len(places)), places[order])
             self.maps[k] = np.zeros(1 << _FILTER_BITS, dtype=bool)
-            self.maps[k][v >> np.uint64(64 - _FILTER_BITS)] = True
-
-    def hits(self, words: Words) -> list[tuple[int, int, set[str]]]:
+            self.maps[k][distinct >> np.uint64(64 - _FILTER_BITS)] = True
+        self._recent: dict[tuple[int, int], dict[bytes, list[str]]] = {}
+
+    def owners(self, k: int, window: int) -> dict[bytes, list[str]]:
+        """The items of one hash, by their words; a few are remembered."""
+        if (k, window) not in self._recent:
+            _, first, places = self.windows[k]
+            out: dict[bytes, set[int]] = {}
+            for p in places[first[window] : first[window + 1]].tolist():
+                text = b" ".join(self.low[s:e].tobytes() for s, e in zip(self.starts[p : p + k], self.ends[p : p + k]))
+                out.setdefault(text, set()).add(int(self.owner[p]))
+            if len(self._recent) >= _REMEMBERED:
+                self._recent.clear()
+            self._recent[k, window] = {t: sorted({self.items[i] for i in x}) for t, x in out.items()}
+        return self._recent[k, window]
+
+    def hits(self, words: Words) -> list[tuple[int, int, list[str]]]:
         """(first word, number of words, items) of each window of the texts that is one of the items'."""
         out = []
-        if not self.hashes or not words.n:
+        if not self.windows or not words.n:
             return out
         owners = words.owners()
-        for k, found in window_hashes(words.hashes(), set(self.hashes)):
+        for k, found in window_hashes(words.hashes(), set(self.windows)):
             likely = np.flatnonzero(self.maps[k][found >> np.uint64(64 - _FILTER_BITS)])
             if not len(likely):
                 continue
-            at = np.searchsorted(self.hashes[k], found[likely])
-            at[at == len(self.hashes[k])] = 0
-            likely = likely[(self.hashes[k][at] == found[likely]) & (owners[likely] == owners[likely + k - 1])]
-            for i in likely.tolist():
-                if items := self.owners.get(words.text(i, i + k)):
+            distinct = self.windows[k][0]
+            at = np.searchsorted(distinct, found[likely])
+            at[at == len(distinct)] = 0
+            same = (distinct[at] == found[likely]) & (owners[likely] == owners[likely + k - 1])
+            for i, window in zip(likely[same].tolist(), at[same].tolist()):
+                if items := self.owners(k, window).get(words.text(i, i + k)):
                     out.append((i, k, items))
         return out
 
@@ -94,7 +126,7 @@ def _points(low: np.ndarray, base: int, at: int) -> int:
     return int(len(part) - np.count_nonzero((part & 0xC0) == 0x80))
 
 
-def _scan_part(df: DataFrame, ngrams: NgramSet, text: str) -> DataFrame:
+def _scan_part(df: DataFrame, ngrams: NgramSet) -> DataFrame:
     """Add hit ranges and items of one part of the benchmark to what earlier parts found."""
     context = df.sparkSession.sparkContext
     shared = context.broadcast(ngrams)
@@ -107,8 +139,9 @@ def _scan_part(df: DataFrame, ngrams: NgramSet, text: str) -> DataFrame:
         n_words = np.zeros(rows, dtype=np.int64)
         ranges: list[list] = [[] for _ in range(rows)]
         items: list[list] = [[] for _ in range(rows)]
-        _, offsets = utf8_parts(batch.column(text))
-        for lo, hi, words in word_chunks(batch.column(text), ALNUM):
+        texts = batch.column("row").field("text")
+        _, offsets = utf8_parts(texts)
+        for lo, hi, words in word_chunks(texts, ALNUM):
             n_words[lo:hi] = words.counts
             hits = ngrams.hits(words)
             if not hits:
@@ -155,47 +188,44 @@ def union(ranges: list[dict]) -> list[dict]:
     return out
 
 
-def _annotated(docs: DataFrame, benchmark: DataFrame, n: int, limit_bytes: int, text: str = "text") -> DataFrame:
+def _annotated(docs: DataFrame, benchmark: DataFrame, n: int, limit_bytes: int) -> DataFrame:
+    """The rows as one struct ``row``, their number of words, hit ranges and items."""
     usable = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = usable.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
     parts = 1 + int(size // limit_bytes)
-    out = docs
+    out = boxed(docs)
     for part in range(parts):
         chosen = usable if parts == 1 else usable.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        out = _scan_part(out, NgramSet([(r.item_id, r.text) for r in chosen.toLocalIterator()], n), text)
+        out = _scan_part(out, NgramSet([(r.item_id, r.text) for r in chosen.toLocalIterator()], n))
+        if part < parts - 1:
+            out = checkpointed(out)
     return out
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
     """doc_id, n_words, ranges (words first..last-1, code points begin..end-1) and items of each row."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _annotated(plain, benchmark, n, limit_bytes)
-    return found.select("doc_id", F.col("_words").alias("n_words"), F.col("_ranges").alias("ranges"), F.col("_items").alias("items"))
-
-
-def _working(docs: DataFrame) -> DataFrame:
-    """The rows as one struct beside their text, so no column name can clash."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    found = _annotated(ids_and_texts(docs), benchmark, n, limit_bytes)
+    return found.select("row.doc_id", F.col("_words").alias("n_words"), F.col("_ranges").alias("ranges"), F.col("_items").alias("items"))
 
 
 def drop(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
     """The documents without a hit, all their columns as they were."""
-    return _annotated(_working(docs), benchmark, n, limit_bytes).where(F.size("_ranges") == 0).select("row.*")
+    return _annotated(docs, benchmark, n, limit_bytes).where(F.size("_ranges") == 0).select("row.*")
 
 
 def cut(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
     """All documents, with the hit spans taken out of their text."""
-    found = _annotated(_working(docs), benchmark, n, limit_bytes)
+    found = _annotated(docs, benchmark, n, limit_bytes)
+    text = F.col("row.text")
     start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
     cleaned = F.aggregate(
         "_ranges",
         start,
-        lambda acc, r: F.struct(F.concat(acc["kept"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (r["begin"] - acc["at"]).cast("int"))).alias("kept"), r["end"].alias("at")),
-        lambda acc: F.concat(acc["kept"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))),
+        lambda acc, r: F.struct(F.concat(acc["kept"], F.substring(text, (acc["at"] + 1).cast("int"), (r["begin"] - acc["at"]).cast("int"))).alias("kept"), r["end"].alias("at")),
+        lambda acc: F.concat(acc["kept"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))),
     )
-    names = docs.columns
-    whole = found.withColumn("clean", F.when(F.size("_ranges") > 0, cleaned).otherwise(F.col("text")))
-    return whole.select(*[F.col("clean").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in names])
+    clean = F.when(F.size("_ranges") > 0, cleaned).otherwise(text)
+    return found.select(*[clean.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; temporary arrays take about 40 times as much.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _WORD_STEP = 0xD6E8FEB86659FD93
