@@ -6,10 +6,10 @@ least free space that still holds it, a new sequence is opened where none does,
 too many are open the fullest closes.  Nothing is shuffled: a sequence belongs to the
 partition that opened it, and what is left open at its end is at most ``OPEN_SEQUENCES``.
 
-The ids are those of ``tokenizers`` for the vocabulary file.  The bulk of the work is done
-by ``tiktoken`` with the same vocabulary and split pattern, read from the same file; in
-every batch some texts are encoded by both and, should they differ, the whole batch is
-encoded by ``tokenizers``, as are texts that hold a special token's string.
+The ids are those of ``tokenizers`` for the vocabulary file.  A byte-level vocabulary is
+applied to the words of its split pattern one by one, so a text of common characters is
+split here and each distinct word is encoded by ``tokenizers`` once and remembered; texts
+with other characters or with a special token's string are given to it as they are.
 
 Edge cases: a null or empty text is the end id alone; a document longer than a sequence is
 cut into full pieces after a shorter first one; repeated rows are packed each; an empty
@@ -19,7 +19,9 @@ of the table holds, so a partition that is computed again gives the same pieces.
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +35,15 @@ from tidewire.llm.common import ids_and_texts
 
 SEQUENCE = 2048
 END_ID = 0
-OPEN_SEQUENCES = 512
-#: Texts in each Arrow batch that both libraries encode.
-VERIFIED = 2
-#: Fixed value: the split pattern of the byte-level BPE vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+OPEN_SEQUENCES = 2048
+#: Distinct words whose ids a worker remembers.
+REMEMBERED = 200_000
+_LINES = 200
+#: Characters whose class no Unicode version changes, and the letters, digits and blanks among them.
+COMMON = "\\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac"
+LETTERS, DIGITS, BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \\t\\n\\r\\f\\v\x85\xa0"
+#: Fixed value: the split pattern of the byte-level BPE vocabulary, for common characters.
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{BLANKS}{LETTERS}{DIGITS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
 
 PIECE = T.StructType(
     [
@@ -97,41 +103,44 @@ def cut(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(s, size) for s in range(head, n, size)]
 
 
-def _byte_of_symbol() -> dict[str, int]:
-    """Byte-level BPE files write each byte as a printable character: printable bytes as themselves, the others from U+0100 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(other)}
-
-
 class Encoder:
     """Token ids of texts, as numpy arrays."""
 
     def __init__(self, path: str) -> None:
-        import tiktoken
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        symbol = _byte_of_symbol()
-        special = set(self.special)
-        ranks = {bytes(symbol[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        special = [t["content"] for t in spec.get("added_tokens", [])]
+        splits_alike = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} | {k: v for k, v in spec["pre_tokenizer"].items() if k == "trim_offsets"}
+        uncommon = [f"[^{COMMON}]", *map(re.escape, special)] if splits_alike else [""]
+        self.uncommon, self.word = re.compile("|".join(uncommon)), re.compile(PATTERN)
         self.exact = Tokenizer.from_file(path)
-        self.fast = tiktoken.Encoding("fast", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def _by_tokenizers(self, text: str) -> np.ndarray:
-        return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-
-    def _by_tiktoken(self, text: str) -> np.ndarray:
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        self.line = self.exact.encode("\n", add_special_tokens=False).ids
+        self.known: dict[str, list[int]] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of new words: many at once as lines of a text where a line break cannot join a word, else one by one."""
+        if len(self.line) == 1:
+            lines = [w for w in words if "\n" not in w and not w.isspace()]
+            groups = [lines[i : i + _LINES] for i in range(0, len(lines), _LINES)]
+            for group, found in zip(groups, self.exact.encode_batch_fast(["\n".join(["", *g]) for g in groups], add_special_tokens=False)):
+                ids = np.array(found.ids, dtype=np.uint32)
+                ends = np.flatnonzero(ids == self.line[0]).tolist()
+                if len(ends) == len(group):
+                    self.known.update((w, ids[a + 1 : b].tobytes()) for w, a, b in zip(group, ends, [*ends[1:], len(ids)]))
+        rest = [w for w in words if w not in self.known]
+        self.known.update((w, np.array(e.ids, dtype=np.uint32).tobytes()) for w, e in zip(rest, self.exact.encode_batch_fast(rest, add_special_tokens=False)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        exact_at = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        plain = [i for i in range(len(texts)) if i not in exact_at and len(texts[i]) < 20_000][:VERIFIED]
-        if any(not np.array_equal(self._by_tokenizers(texts[i]), self._by_tiktoken(texts[i])) for i in plain):
-            exact_at = set(range(len(texts)))
-        return [self._by_tokenizers(t) if i in exact_at else self._by_tiktoken(t) for i, t in enumerate(texts)]
+        split = [None if self.uncommon.search(t) else self.word.findall(t) for t in texts]
+        distinct = set(itertools.chain.from_iterable(w for w in split if w))
+        if len(self.known) + len(distinct) > REMEMBERED:
+            self.known.clear()
+        if new := distinct - self.known.keys():
+            self._learn(new)
+        ids = self.known.__getitem__
+        return [np.array(self.exact.encode(t, add_special_tokens=False).ids, dtype=np.uint32) if w is None else np.frombuffer(b"".join(map(ids, w)), dtype=np.uint32) for t, w in zip(texts, split)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -155,13 +164,12 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, most_open:
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             encoded = tokens.encode(["" if t is None else t for t in batch.column("text").to_pylist()])
-            pieces = []
-            for row, ids in enumerate(encoded):
+            rows = []
+            for doc_id, ids in zip(doc_ids, encoded):
                 whole = np.append(ids, END_ID).astype("<u4")
-                pieces += [(row, k, s, n, whole) for k, (s, n) in enumerate(cut(len(whole), size))]
-            # a batch is offered longest piece first, which fills sequences better than the table's order
-            places = {i: bins.place(pieces[i][3]) for i in sorted(range(len(pieces)), key=lambda i: -pieces[i][3])}
-            rows = [(doc_ids[row], k, s, n, whole[s : s + n].tobytes(), base + places[i][0], places[i][1]) for i, (row, k, s, n, whole) in enumerate(pieces)]
+                for k, (s, n) in enumerate(cut(len(whole), size)):
+                    sequence, offset = bins.place(n)
+                    rows.append((doc_id, k, s, n, whole[s : s + n].tobytes(), base + sequence, offset))
             if rows:
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
