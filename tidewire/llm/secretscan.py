@@ -2,8 +2,8 @@
 
 Two character models of order two, one of random strings and one of ordinary words and
 identifiers, score every long token without blanks; a token whose log-likelihood ratio is
-high enough is a further span of kind ``random``.  Both models are trained from labelled
-samples: values that the patterns found in a bounded sample of documents and strings drawn
+high enough is a further span of kind ``random``; of a token that a base span touches, what
+is left outside is judged.  Both models are trained from labelled samples: values that the patterns found in a bounded sample of documents and strings drawn
 from a seeded generator are labelled random, other tokens of the same documents and
 identifiers made of their words are labelled ordinary.  The sample is chosen by a hash of
 the id, so it does not depend on how the table is split; everything is then scanned, whole.
@@ -20,6 +20,7 @@ import math
 import random
 import re
 import string
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.common import ids_and_texts, map_batches
+from tidewire.llm.common import boxed, ids_and_texts, map_batches
 
 KINDS = ("assign", "access", "hex", "random")
 #: The patterns of the base scan and the lengths below which a match is dropped.
@@ -39,9 +40,13 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 _NAMED = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 
 #: Tokens that the models judge.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE_LEAST = 12
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{CANDIDATE_LEAST},}}")
 #: Documents in the training sample, at most about so many; the sample is taken by hash of the id.
 SAMPLE_DOCS = 2000
+#: Of each sampled document at most so many distinct words and secret values, and of all words so many stems
+#: for generated identifiers; all are chosen by hash.
+SAMPLE_WORDS, SAMPLE_VALUES, STEMS = 50, 50, 4000
 #: Nats by which the random model must beat the ordinary one, and the least mean per character.
 MARGIN, MARGIN_PER_CHAR = 12.0, 1.2
 
@@ -137,6 +142,11 @@ def known_identifiers() -> list[str]:
     return sorted(x for x in found if len(x) > 2)
 
 
+def _some(values: list[str], n: int) -> list[str]:
+    """At most n distinct values, chosen by hash and so from every place and letter alike."""
+    return sorted(set(values), key=lambda v: (zlib.crc32(v.encode()), v))[:n]
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> MarkovPair:
     """Fit both models on labelled strings of at most about ``sample_docs`` documents."""
     total = docs.select("doc_id").count()
@@ -151,13 +161,14 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> MarkovPair:
             plain = text
             for value in values:
                 plain = plain.replace(value, " ")
-            words = list(dict.fromkeys(re.findall(r"[A-Za-z0-9+/_=-]{3,}", plain)))[:50]
+            words = _some(re.findall(r"[A-Za-z0-9+/_=-]{3,}", plain), SAMPLE_WORDS)
+            values = _some(values, SAMPLE_VALUES)
             strings += [*values, *words]
             random_label += [True] * len(values) + [False] * len(words)
         return pa.RecordBatch.from_arrays([pa.array(strings, pa.string()), pa.array(random_label, pa.bool_())], ["token", "is_random"])
 
     rows = map_batches(sample, labelled, T.StructType([T.StructField("token", T.StringType()), T.StructField("is_random", T.BooleanType())]))
-    # at most 50 words and a few secrets from each of about sample_docs documents; sorted, so the fit does not depend on task order
+    # at most SAMPLE_WORDS + SAMPLE_VALUES strings from each of about sample_docs documents; sorted, so the fit does not depend on task order
     found = sorted({(r.token, r.is_random) for r in rows.distinct().toLocalIterator()})
     return from_labelled([t for t, y in found if y and len(t) >= 12], [t for t, y in found if not y and not CANDIDATE.fullmatch(t)])
 
@@ -166,20 +177,33 @@ def from_labelled(randoms: list[str], words: list[str]) -> MarkovPair:
     rng = random.Random(20)
     plain = [w for w in words if w.isascii() and w.isalpha()]
     known = known_identifiers()
-    stems = [*(w for w in known if w.isalpha()), *plain[:4000]]
+    stems = [*(w for w in known if w.isalpha()), *_some(plain, STEMS)]
     runs = [c * rng.randint(10, 60) for c in _SYMBOLS for _ in range(3)]
     ordinaries = [*words, *known, *runs, *_generated_identifiers(rng, stems, 8000)]
     return MarkovPair.trained([*[t for t in randoms if t.isascii()], *_generated_randoms(rng, 6000)], [w for w in ordinaries if w.isascii() and len(w) > 2])
 
 
+def _judged(text: str, begin: int, end: int, models: MarkovPair) -> list[tuple[str, int, int, int]]:
+    return [("random", begin, end, begin)] if end - begin >= CANDIDATE_LEAST and models.is_random(text[begin:end]) else []
+
+
 def all_spans(text: str, models: MarkovPair) -> list[tuple[str, int, int, int]]:
     """Base spans and, outside them, the tokens that the models call random; by begin, then kind."""
     spans = base_spans(text)
-    base = [(b, e) for _, b, e, _ in spans]
+    base = sorted((b, e) for _, b, e, _ in spans)
+    k = 0
+    reached = -1
     for m in CANDIDATE.finditer(text):
-        b, e = m.span()
-        if not any(x < e and b < y for x, y in base) and models.is_random(m[0]):
-            spans.append(("random", b, e, b))
+        at, end = m.span()
+        # base spans are passed once, from left to right
+        while k < len(base) and base[k][0] < end:
+            b, e = base[k]
+            if b > at and reached <= at:
+                spans += _judged(text, at, b, models)
+            at, reached, k = max(at, e), max(reached, e), k + 1
+        at = max(at, min(reached, end))
+        if at < end:
+            spans += _judged(text, at, end, models)
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -205,13 +229,13 @@ def redact(docs: DataFrame, models: MarkovPair | None = None, mark: str = "[SECR
     """All documents, with every secret value replaced in their text; other columns as they were."""
     models = models or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    names = docs.columns
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([boxed.schema["row"], T.StructField("clean", T.StringType())])
+    rows = boxed(docs)
+    schema = rows.schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         clean = []
-        for text in batch.column("text").to_pylist():
+        row = batch.column("row")
+        for text in row.field("text").to_pylist():
             spans = all_spans(text or "", shared.value)
             if spans:
                 kept, at = [], 0
@@ -221,10 +245,11 @@ def redact(docs: DataFrame, models: MarkovPair | None = None, mark: str = "[SECR
                     at = max(at, end)
                 text = "".join([*kept, text[at:]])
             clean.append(text)
-        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(clean, pa.string())], ["row", "clean"])
+        fields = [f.name for f in row.type]
+        columns = [pa.array(clean, pa.string()) if c == "text" else row.field(c) for c in fields]
+        return pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields)], ["row"])
 
-    out = map_batches(boxed, run, schema)
-    return out.select(*[F.col("clean").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in names])
+    return map_batches(rows, run, schema).select("row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:
