@@ -9,12 +9,14 @@ similarity of the sets reaches the threshold, which is confirmed on the full set
    that agree on at least ``MATCHES`` of ``COORDINATES`` must share one among the rarest
    ``COORDINATES - MATCHES + 1`` of either (prefix), so the most frequent lists are skipped.
 3. In each list every member is paired with the least one (its pivot), which is linear in
-   the list.  Pairs whose signatures agree often enough are confirmed, and the links give
-   first components.  Where all of a list is in one component, nothing is left to do.
+   the list.  Merging the lists by pair counts the collisions in the prefixes; the skipped
+   lists are not read but probed by the two signatures.  Pairs with ``MATCHES`` collisions
+   are confirmed, and the links give first components.  Where all of a list is in one
+   component, nothing is left to do.
 4. In the other lists, members outside the pivot's component are compared with all members
-   of other components.  A list is dealt into cells of bounded size, and a cell compares its
-   sets term at a time and returns at most one link for each member and component, so no
-   table of pairs is ever made.
+   of other components.  A list is dealt into cells of bounded size; a cell counts the
+   collisions of its signatures, confirms those at the threshold and returns at most one
+   link for each member and component, so no table of pairs is ever made.
 
 No link between two components is lost by skipping pairs inside one, because the result is
 the component.  A pair at the threshold is missed by the signature with probability below
@@ -44,6 +46,8 @@ from tidewire.llm.textbatch import SPACED, Words, mix, window_hashes, word_chunk
 COORDINATES, MATCHES = 32, 16
 #: Shingles on either side of a cell, and in all cells that one task takes at once.
 CELL, BUCKET = 400_000, 2_000_000
+#: Parts that a posting list is dealt into wherever it is joined by its key.
+SALTS = 64
 #: Bits of the filter that keeps texts nobody asks for out of a shuffle; as a table it has a 64th as many rows.
 FILTER_BITS = 1 << 25
 _U = np.uint64
@@ -179,22 +183,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return both.where(100 * shared >= rule.percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
 
-def cell_links(outside: list[tuple[int, int, np.ndarray]], members: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Links between (id, component, set) of one side and the other, one for each id and other component."""
-    sizes = np.array([len(s) for _, _, s in members])
-    components_of = np.array([c for _, c, _ in members])
-    terms, at = np.unique(np.concatenate([s for _, _, s in members]), return_inverse=True)
-    holders = np.repeat(np.arange(len(members)), sizes)[np.argsort(at, kind="stable")]
-    first = np.searchsorted(np.sort(at), np.arange(len(terms) + 1))
+def cell_links(outside: list[tuple[int, int, np.ndarray, np.ndarray]], members: list[tuple[int, int, np.ndarray, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links between (id, component, set, sketch) of one side and the other, one for each id and other component.
+
+    Collisions of the signatures are counted first; those of another component at or above
+    the match threshold have their sets merged term at a time.
+    """
+    components_of = np.array([c for _, c, _, _ in members])
+    sketches = np.stack([k for _, _, _, k in members])
     out = []
-    for i, component, mine in outside:
-        found = np.searchsorted(terms, mine)
-        found[found == len(terms)] = 0
-        found = found[terms[found] == mine]
-        begin, many = first[found], first[found + 1] - first[found]
-        spots = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
-        shared = np.bincount(holders[spots], minlength=len(members))
-        close = np.flatnonzero((100 * shared >= percent * (len(mine) + sizes - shared)) & (components_of != component))
+    for i, component, unsorted, sketch in outside:
+        alike = np.flatnonzero(((sketches == sketch).sum(1) >= MATCHES) & (components_of != component))
+        if not len(alike):
+            continue
+        mine, sizes = np.sort(unsorted), np.array([len(members[k][2]) for k in alike])
+        likely = np.flatnonzero((100 * np.minimum(sizes, len(mine)) >= percent * np.maximum(sizes, len(mine))))
+        alike, sizes = alike[likely], sizes[likely]
+        if not len(alike):
+            continue
+        theirs = np.concatenate([members[k][2] for k in alike])
+        at = np.searchsorted(mine, theirs)
+        at[at == len(mine)] = 0
+        shared = np.bincount(np.repeat(np.arange(len(alike)), sizes)[mine[at] == theirs], minlength=len(alike))
+        close = alike[100 * shared >= percent * (len(mine) + sizes - shared)]
         _, one = np.unique(components_of[close], return_index=True)
         out += [(i, members[k][0]) for k in close[one].tolist()]
     return out
@@ -203,32 +214,50 @@ def cell_links(outside: list[tuple[int, int, np.ndarray]], members: list[tuple[i
 def _cell_links(named: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) from members outside the main component of a list to all others of it."""
     outside = F.col("component") != F.col("main")
-    sized = named.groupBy("post").agg(F.ceil(F.sum("n") / CELL).cast("long").alias("columns"), F.ceil(F.sum(F.when(outside, F.col("n"))) / CELL).cast("long").alias("rows"))
-    sized = checkpointed(sized)
-    spread = named.join(sized, "post")
+    cells_of = lambda n: F.ceil(F.sum(n) / CELL).cast("long")
+    spread = _by_list(named, [F.sum("n").alias("all_n"), F.sum(F.when(outside, F.col("n"))).alias("out_n")], [cells_of("all_n").alias("columns"), cells_of("out_n").alias("rows")], "columns > 0")
+    spread = checkpointed(spread)
     total = spread.agg(F.sum(F.col("n") * (F.col("rows") + F.when(outside, F.col("columns")).otherwise(0)))).first()[0] or 0
     buckets = 1 + int(total // BUCKET)
     filled = spread.join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id")
+    kept = ("post", "id", "component", "shingles", "s0", "s1", "s2", "s3")
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     own = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)))
-    member = filled.select("post", "id", "component", "shingles", F.lit(False).alias("out"), F.explode(F.arrays_zip(every("rows").alias("row"), F.array_repeat(own("columns")[0], F.col("rows").cast("int")).alias("column"))).alias("cell"))
-    strange = filled.where(outside).select("post", "id", "component", "shingles", F.lit(True).alias("out"), F.explode(F.arrays_zip(F.array_repeat(own("rows")[0], F.col("columns").cast("int")).alias("row"), every("columns").alias("column"))).alias("cell"))
-    cells = member.unionByName(strange).select("post", "id", "component", "shingles", "out", F.col("cell.row").alias("row"), F.col("cell.column").alias("column"))
+    member = filled.select(*kept, F.lit(False).alias("out"), F.explode(F.arrays_zip(every("rows").alias("row"), F.array_repeat(own("columns")[0], F.col("rows").cast("int")).alias("column"))).alias("cell"))
+    strange = filled.where(outside).select(*kept, F.lit(True).alias("out"), F.explode(F.arrays_zip(F.array_repeat(own("rows")[0], F.col("columns").cast("int")).alias("row"), every("columns").alias("column"))).alias("cell"))
+    cells = member.unionByName(strange).select(*kept, "out", F.col("cell.row").alias("row"), F.col("cell.column").alias("column"))
     cells = cells.withColumn("bucket", F.pmod(F.xxhash64("post", "row", "column"), F.lit(buckets)))
     percent = rule.percent
 
     def compare(table: pa.Table) -> pa.Table:
         sides: dict[tuple, tuple[list, list]] = {}
+        sketch = np.stack([table.column(f"s{i}").to_numpy() for i in range(4)], 1).astype("<i8").view(np.uint8)
         values = table.column("shingles").combine_chunks()
         offsets, flat = np.asarray(values.offsets), np.asarray(values.values)
         for k, (post, row, column, i, component, out) in enumerate(zip(*(table.column(c).to_pylist() for c in ("post", "row", "column", "id", "component", "out")))):
-            sides.setdefault((post, row, column), ([], []))[0 if out else 1].append((i, component, flat[offsets[k] : offsets[k + 1]]))
+            sides.setdefault((post, row, column), ([], []))[0 if out else 1].append((i, component, flat[offsets[k] : offsets[k + 1]], sketch[k]))
         links = [link for left, right in sides.values() if left and right for link in cell_links(left, right, percent)]
         return pa.table([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
 
     return cells.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _by_list(rows: DataFrame, partial: list[Column], total: list[Column], where: str) -> DataFrame:
+    """Rows (post, id, ...) with totals of their posting list, where those meet the condition.
+
+    Lists are aggregated in parts that :data:`SALTS` deals them into, and every part gets the
+    totals back under its own key, so a frequent post is no hot key of the join.
+    """
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    totals = dealt.groupBy("post", "part").agg(*partial).groupBy("post").agg(*total, F.collect_list("part").alias("parts")).where(where)
+    return dealt.join(totals.withColumn("part", F.explode("parts")).drop("parts"), ["post", "part"]).drop("part")
+
+
+def _with_totals(posted: DataFrame) -> DataFrame:
+    """Postings whose list has others too, with its least id and its length."""
+    return _by_list(posted, [F.min("id").alias("pivot"), F.count(F.lit(1)).alias("many")], [F.min("pivot").alias("pivot"), F.sum("many").alias("many")], "many > 1")
+
+
 def linked(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, n, k1, k2, _row1, _row2, representative) and components (id, component) of representatives."""
     signed = checkpointed(_signed(docs, rule))
@@ -236,29 +265,29 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
     reps = words.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(4)], F.first("posts").alias("posts"))
     reps = checkpointed(reps)
     posted = reps.where("id is not null").select("id", F.explode("posts").alias("post"))
-    shared = posted.groupBy("post").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    own = posted.join(shared, "post").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("many", "post"))).alias("posts"))
+    own = _with_totals(posted).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("many", "post"))).alias("posts"))
     # coordinates that nobody shares are the rarest and take their places in the prefix
     prefix = F.size("posts") - F.lit(COORDINATES) + F.lit(COORDINATES - MATCHES + 1)
     kept = own.where(prefix > 0).select("id", F.explode(F.slice("posts", F.lit(1), F.greatest(prefix, F.lit(1)))).alias("p")).select("id", F.col("p.post").alias("post"))
-    heads = kept.groupBy("post").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    lists = checkpointed(kept.join(heads, "post"))
+    lists = checkpointed(_with_totals(kept))
     sketches = reps.select("id", "s0", "s1", "s2", "s3")
 
     def alike(pairs: DataFrame) -> DataFrame:
         near = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.id")).join(sketches.alias("y"), F.col("b") == F.col("y.id"))
-        return near.where(_agreements("x", "y") >= MATCHES).select("a", "b")
+        # collisions in the lists that were merged, and those that probing finds in the skipped ones
+        return near.where(F.greatest("met", _agreements("x", "y")) >= MATCHES).select("a", "b")
 
     sets = checkpointed(_sets(docs, lists.select(F.col("id").alias("doc_id")).distinct(), rule))
-    stars = alike(lists.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    met = lists.where("id != pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("met"))
+    stars = alike(met)
     links = checkpointed(_confirmed(stars, sets, rule))
     found = components(links)
 
     label = found.select("id", "component")
     named = lists.where("many > 2").join(label, "id", "left").join(label.select(F.col("id").alias("pivot"), F.col("component").alias("main")), "pivot", "left")
     named = named.select("post", "id", F.coalesce("component", "id").alias("component"), F.coalesce("main", "pivot").alias("main"))
-    open_lists = named.groupBy("post").agg(F.bool_or(F.col("component") != F.col("main")).alias("open")).where("open").select("post")
-    named = checkpointed(named.join(open_lists, "post").join(reps.select("id", "n"), "id"))
+    named = _by_list(named, [F.bool_or(F.col("component") != F.col("main")).alias("open")], [F.bool_or("open").alias("open")], "open").drop("open")
+    named = checkpointed(named.join(reps.select("id", "n", "s0", "s1", "s2", "s3"), "id"))
     if named.limit(1).count():
         found = components(links.unionByName(_cell_links(named, sets, rule)))
 
