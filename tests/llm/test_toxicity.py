@@ -1,6 +1,7 @@
 """The network's gradients, its accuracy on texts it never saw, and the query."""
 
 import binascii
+import math
 import random
 
 import duckdb
@@ -57,6 +58,58 @@ def test_gradients_match_differences():
         toxicity._F = toxicity_f
 
 
+def by_hand(net, words, table):
+    """One window, one number at a time: both GRUs, attention, logit."""
+    p, sig = net.p, lambda x: 1 / (1 + math.exp(-x))
+    d, h = toxicity.DIM, toxicity.HIDDEN
+    states = []
+    for way, order in (("f", range(len(words))), ("b", range(len(words) - 1, -1, -1))):
+        wx, bx, u = p[f"wx_{way}"], p[f"bx_{way}"], p[f"u_{way}"]
+        state, out = [0.0] * h, {}
+        for t in order:
+            x = table[words[t]]
+            gate = [sum(x[i] * wx[i][j] for i in range(d)) + bx[j] for j in range(3 * h)]
+            rec = [sum(state[i] * u[i][j] for i in range(h)) for j in range(3 * h)]
+            r = [sig(gate[j] + rec[j]) for j in range(h)]
+            z = [sig(gate[h + j] + rec[h + j]) for j in range(h)]
+            c = [math.tanh(gate[2 * h + j] + r[j] * rec[2 * h + j]) for j in range(h)]
+            state = [z[j] * state[j] + (1 - z[j]) * c[j] for j in range(h)]
+            out[t] = state
+        states.append(out)
+    both = [states[0][t] + states[1][t] for t in range(len(words))]
+    e = [sum(math.tanh(sum(b[i] * p["wa"][i][j] for i in range(2 * h)) + p["ba"][j]) * p["va"][j] for j in range(toxicity.ATTENTION)) for b in both]
+    a = [math.exp(x - max(e)) for x in e]
+    pooled = [sum(a[t] * both[t][j] for t in range(len(words))) / sum(a) for j in range(2 * h)]
+    return sum(x * w for x, w in zip(pooled, p["wo"])) + p["bo"][0]
+
+
+def test_network_matches_a_walk_by_hand():
+    net = toxicity.Network.fresh(5)
+    rng = np.random.default_rng(2)
+    table = rng.standard_normal((9, toxicity.DIM)).astype(np.float32)
+    rows = [[1, 4, 4, 2, 8, 0], [3], [5, 6, 7]]
+    index = np.array([r + [0] * (6 - len(r)) for r in rows])
+    mask = np.array([[1] * len(r) + [0] * (6 - len(r)) for r in rows], dtype=np.float32)
+    assert net.forward(table, index, mask) == pytest.approx([by_hand(net, r, table) for r in rows], abs=1e-4)
+
+
+def test_features_of_a_corpus_are_those_of_its_chunks():
+    texts = [*corpus(40, 9)[0], "", "é " * 30]
+    _, feats = toxicity._corpus(texts)
+    (_, _, words), = word_chunks(pa.array(texts), ALNUM, 1 << 30)
+    whole = toxicity.Features(words)
+    assert (feats.key == whole.key).all() and (feats.index == whole.index).all() and (feats.word == whole.word).all()
+    assert sorted(zip(feats.owner, feats.gram)) == sorted(zip(whole.owner, whole.gram))
+
+
+def test_a_passage_scores_alike_wherever_it_is():
+    texts, labels = corpus(300, 6)
+    net = toxicity.fit(texts, labels)
+    plain = next(t for t, y in zip(*corpus(40, 8)) if not y and t.count(" ") > 150).split()
+    scores = [toxicity.score_texts(net, pa.array([" ".join([*plain[:k], "grumblefrotz", "snarkwhip", *plain[k:]])]))[0] for k in range(0, 100, 7)]
+    assert min(scores) > 0.5
+
+
 def corpus(n, seed):
     rng = random.Random(seed)
     syllables = ["an", "er", "th", "ou", "re", "ing", "es", "ti"]

@@ -5,38 +5,48 @@ letters say (hashed character n-grams).  Overlapping windows of words pass a GRU
 directions, attention pools the states of a window, and a text scores as its most toxic
 window.  Texts are lower-cased; words are runs of digits, letters and non-ASCII characters.
 
-Training sees at most ``SAMPLE_PER_CLASS`` labelled texts of each class, none above
-``TRAIN_BYTES`` bytes, chosen by a hash of the id among rows whose crc32 of the id is not 0
-modulo 5.  It is multiple-instance learning: a toxic text is taught by the window that looks
-most toxic so far, a clean one by its worst windows and some others.  The first choice comes
-from the document frequencies of words and n-grams.  Scoring covers every word of every text.
-
-Edge cases: null and empty texts have no window and get the score of an empty window;
-labels that are null take no part and a document labelled both ways counts as toxic; without
-toxic labels all scores are low; repeated rows score alike; other columns are ignored by
+Training sees at most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled texts, whole, and at
+most ``SAMPLE_BYTES`` of each class, chosen by a hash of the id among rows whose crc32 of the
+id is not 0 modulo 5.  It is multiple-instance learning: a toxic text is taught by the window
+that looks most toxic so far, a clean one by its worst window and some others.  The first
+choice, and the first value of the embeddings, come from how far toxic texts hold a word or
+n-gram more often than chance; words and n-grams that few texts hold have no embedding, so
+that the network does not learn its texts by heart.  Scoring covers every word of every text,
+in windows of which each word but those at the ends is in two.
+
+Edge cases: null and empty texts have no window and get the score of an empty window; labels
+that are null take no part and a document labelled both ways counts as toxic; of an id with
+several texts the least is learnt from; without toxic labels all scores are low; repeated rows score alike; other columns are ignored by
 :func:`score` and kept by :func:`drop`.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.common import crc_mod5, ids_and_texts, map_batches
+from tidewire.llm.common import boxed, checkpointed, crc_mod5, ids_and_texts, map_batches
 from tidewire.llm.textbatch import _POWERS, ALNUM, Words, mix, word_chunks
 
-WINDOW, STRIDE = 48, 36
-WORD_BUCKETS, GRAM_BUCKETS = 1 << 13, 1 << 14
+WINDOW, STRIDE = 48, 24
+WORD_BITS, GRAM_BITS = 17, 16
+WORD_BUCKETS, GRAM_BUCKETS = 1 << WORD_BITS, 1 << GRAM_BITS
 GRAMS = (3, 5)
 DIM, HIDDEN, ATTENTION = 12, 8, 8
-SAMPLE_PER_CLASS = 1000
-TRAIN_BYTES = 30_000
-EPOCHS, BATCH, RATE = 12, 64, 0.012
+#: Labelled texts of each class that training sees at most, and bytes of text of each class.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 1500
+SAMPLE_BYTES = 4 << 20
+EPOCHS, BATCH, RATE = 10, 64, 0.012
+#: Training texts that must hold a word or n-gram for its embedding to learn; standard deviations of chance.
+LEAST_TEXTS, SURE = 6, 4.0
+DECAY = 2e-3
 _F = np.float32
 
 
@@ -44,9 +54,10 @@ class Features:
     """Distinct words of a chunk, as buckets of their whole form and of their n-grams."""
 
     def __init__(self, words: Words) -> None:
-        distinct, at, self.index = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        distinct, at, index = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        self.index = index.astype(np.int32)
         self.key = distinct
-        self.word = (distinct >> np.uint64(64 - 13)).astype(np.int64)
+        self.word = (distinct >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         # the letters of the distinct words alone; a hash of letters is the same at every place
         size = words.ends[at] - words.starts[at]
         ends = np.cumsum(size)
@@ -55,15 +66,15 @@ class Features:
         up, down = _POWERS.upto(len(low) + 1)
         total = np.zeros(len(low) + 1, dtype=np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(low)], out=total[1:])
-        owner, gram = [np.arange(len(at))], [(mix(distinct ^ np.uint64(77)) >> np.uint64(64 - 14)).astype(np.int64)]
+        owner, gram = [np.arange(len(at))], [(mix(distinct ^ np.uint64(77)) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)]
         for n in GRAMS:
             many = np.maximum(ends - starts - n + 1, 0)
             own = np.repeat(np.arange(len(at)), many)
             pos = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + starts[own]
             first = (pos == starts[own]).astype(np.uint64)  # n-grams that begin a word are their own kind
             owner.append(own)
-            gram.append((mix((total[pos + n] - total[pos]) * down[pos] + np.uint64(n) + first * np.uint64(1 << 40)) >> np.uint64(64 - 14)).astype(np.int64))
-        self.owner, self.gram = np.concatenate(owner), np.concatenate(gram)
+            gram.append((mix((total[pos + n] - total[pos]) * down[pos] + np.uint64(n) + first * np.uint64(1 << 40)) >> np.uint64(64 - GRAM_BITS)).astype(np.int64))
+        self.owner, self.gram = np.concatenate(owner).astype(np.int32), np.concatenate(gram).astype(np.int32)
         self.weight = (1 / np.sqrt(np.bincount(self.owner, minlength=len(at)))).astype(_F)
 
     @property
@@ -77,12 +88,12 @@ class Features:
         shift = np.cumsum([0, *[p.n for p in parts]])
         out.key, at, place = np.unique(np.concatenate([p.key for p in parts]), return_index=True, return_inverse=True)
         out.word, out.weight = (np.concatenate([getattr(p, x) for p in parts])[at] for x in ("word", "weight"))
-        out.index = np.concatenate([place[p.index + s] for p, s in zip(parts, shift)])
-        owner = np.concatenate([p.owner + s for p, s in zip(parts, shift)])
+        out.index = np.concatenate([place[p.index + s].astype(np.int32) for p, s in zip(parts, shift)])
+        owner = np.concatenate([p.owner + np.int32(s) for p, s in zip(parts, shift)])
         chosen = np.zeros(shift[-1], bool)
         chosen[at] = True
         mine = chosen[owner]
-        out.owner, out.gram = place[owner[mine]], np.concatenate([p.gram for p in parts])[mine]
+        out.owner, out.gram = place[owner[mine]].astype(np.int32), np.concatenate([p.gram for p in parts])[mine]
         return out
 
 
@@ -105,12 +116,23 @@ class _Corpus:
 
 
 def _corpus(texts: list[str]) -> tuple[_Corpus, Features]:
-    """Chunk by chunk, so that letters of all texts are never expanded at once."""
-    counts, parts = [], []
-    for _, _, words in word_chunks(pa.array(texts, pa.string()), ALNUM, 1 << 20):
+    """Word counts and features of texts; letters are expanded for distinct words alone, a part of them at a time."""
+    counts, hashes, fresh = [], [], []
+    seen = np.zeros(0, np.uint64)
+    for _, _, words in word_chunks(pa.array(texts, pa.string()), ALNUM, 1 << 18):
         counts.append(words.counts)
+        hashes.append(words.hashes())
+        distinct, at = np.unique(hashes[-1], return_index=True)
+        new = ~np.isin(distinct, seen)
+        fresh += [words.low[a:b].tobytes() for a, b in zip(words.starts[at[new]], words.ends[at[new]])]
+        seen = np.union1d(seen, distinct[new])
+    parts = []
+    for lo in range(0, len(fresh), 1 << 15):
+        (_, _, words), = word_chunks(pa.array([b" ".join(fresh[lo : lo + (1 << 15)])]).cast(pa.string()), ALNUM, 1 << 30)
         parts.append(Features(words))
-    return _Corpus(np.concatenate(counts)), Features.joined(parts)
+    feats = Features.joined(parts) if parts else Features(Words(np.zeros(0, np.uint8), np.zeros(1, np.int64), ALNUM))
+    feats.index = np.searchsorted(feats.key, np.concatenate(hashes)).astype(np.int32) if hashes else np.zeros(0, np.int32)
+    return _Corpus(np.concatenate(counts)), feats
 
 
 def windows(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,8 +167,9 @@ class Network:
         return cls(p)
 
     def embed(self, feats: Features, word_keep: np.ndarray | None = None) -> np.ndarray:
-        rows = self.p["gram"][feats.gram]
-        letters = np.stack([np.bincount(feats.owner, weights=rows[:, k], minlength=feats.n) for k in range(DIM)], 1).astype(_F) if feats.n else np.zeros((0, DIM), _F)
+        letters = np.zeros((feats.n, DIM), _F)
+        for k in range(DIM if feats.n else 0):
+            letters[:, k] = np.bincount(feats.owner, weights=self.p["gram"][:, k][feats.gram], minlength=feats.n)
         whole = self.p["word"][feats.word]
         if word_keep is not None:
             whole = whole * word_keep[:, None]
@@ -214,7 +237,7 @@ class Network:
             by_table += by_gates @ self.p[f"wx_{d}"].T
         return g, by_table
 
-    def window_logits(self, feats: Features, at: np.ndarray, size: np.ndarray, block: int = 8192) -> np.ndarray:
+    def window_logits(self, feats: Features, at: np.ndarray, size: np.ndarray, block: int = 2048) -> np.ndarray:
         table = np.concatenate([self.embed(feats), np.zeros((1, DIM), _F)])
         out = np.empty(len(at), _F)
         for lo in range(0, len(at), block):
@@ -233,38 +256,62 @@ def _grid(feats: Features, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray
     return index, real.astype(_F)
 
 
-def _clues(words: _Corpus, feats: Features, toxic: np.ndarray) -> np.ndarray:
-    """For each distinct word, how much more often toxic texts hold its form or one of its n-grams."""
-    owners = words.owners()
-    n1 = max(1, int(toxic.sum()))
-    n0 = max(1, len(toxic) - n1)
+@dataclass
+class _Evidence:
+    """How much more often toxic texts hold each distinct word and each bucket of n-grams, and how many texts do."""
 
-    def held(texts: np.ndarray, bucket: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """In how many toxic and other texts each bucket is."""
-        pairs = np.unique(bucket * len(toxic) + texts)
-        hit = toxic[pairs % len(toxic)]
-        return np.bincount(pairs // len(toxic), weights=hit, minlength=size), np.bincount(pairs // len(toxic), weights=1 - hit, minlength=size)
+    word: np.ndarray
+    word_texts: np.ndarray
+    gram: np.ndarray
+    gram_texts: np.ndarray
 
-    def lift(k1: np.ndarray, k0: np.ndarray) -> np.ndarray:
-        return np.log((k1 + 0.25) / (n1 + 0.5)) - np.log((k0 + 0.25) / (n0 + 0.5))
+    @classmethod
+    def of(cls, words: _Corpus, feats: Features, toxic: np.ndarray) -> _Evidence:
+        share = toxic.mean()
+
+        def held(texts: np.ndarray, bucket: np.ndarray, size: int) -> np.ndarray:
+            """In how many texts, and how many toxic ones, each bucket is."""
+            pairs = np.unique(bucket.astype(np.int64) * len(toxic) + texts)
+            return np.stack([np.bincount(pairs // len(toxic), weights=w, minlength=size) for w in (np.ones(len(pairs)), toxic[pairs % len(toxic)])])
+
+        def excess(many: np.ndarray, bad: np.ndarray) -> np.ndarray:
+            """Toxic texts above the expected number, in standard deviations."""
+            return (bad - many * share) / np.sqrt(many * share * (1 - share) + 1)
+
+        owners = words.owners()
+        by_word = held(owners, feats.index, feats.n)
+        text_word = np.unique(owners * feats.n + feats.index)
+        text_of, word_of = text_word // feats.n, text_word % feats.n
+        order = np.argsort(feats.owner, kind="stable")
+        own, gram = feats.owner[order], feats.gram[order]
+        first = np.searchsorted(own, np.arange(feats.n + 1))
+        by_gram = np.zeros((2, GRAM_BUCKETS))
+        for lo in range(0, len(toxic), 50):  # n-grams of so many texts at a time
+            a, b = np.searchsorted(text_of, [lo, lo + 50])
+            many = np.diff(first)[word_of[a:b]]
+            spots = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[word_of[a:b]], many)
+            by_gram += held(np.repeat(text_of[a:b], many), gram[spots], GRAM_BUCKETS)
+        return cls(excess(*by_word), by_word[0], excess(*by_gram), by_gram[0])
+
+    def clues(self, feats: Features) -> np.ndarray:
+        """For each distinct word, the most that it or one of its n-grams tells."""
+        out = self.word.copy()
+        np.maximum.at(out, feats.owner, self.gram[feats.gram])
+        return out
 
-    k1, k0 = held(owners, feats.index, feats.n)
-    clue = np.where(k1 >= 2, lift(k1, k0), 0)
-    text_word = np.unique(owners * feats.n + feats.index)
-    text_of, word_of = text_word // feats.n, text_word % feats.n
-    order = np.argsort(feats.owner, kind="stable")
-    own, gram = feats.owner[order], feats.gram[order]
-    first = np.searchsorted(own, np.arange(feats.n + 1))
-    g1, g0 = np.zeros(GRAM_BUCKETS), np.zeros(GRAM_BUCKETS)
-    for lo in range(0, len(toxic), 50):  # n-grams of so many texts at a time
-        a, b = np.searchsorted(text_of, [lo, lo + 50])
-        many = np.diff(first)[word_of[a:b]]
-        spots = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[word_of[a:b]], many)
-        k1, k0 = held(np.repeat(text_of[a:b], many), gram[spots], GRAM_BUCKETS)
-        g1, g0 = g1 + k1, g0 + k0
-    best = np.where(g1 >= 4, lift(g1, g0), 0)[gram]
-    np.maximum.at(clue, own, best)
-    return clue
+    def plant(self, net: Network, feats: Features) -> tuple[np.ndarray, np.ndarray]:
+        """Start the first dimension of the embeddings at what is surely told; which rows may learn.
+
+        What few texts hold stays at zero: a network would learn those texts by heart from it.
+        """
+        word = np.zeros(WORD_BUCKETS, bool)
+        word[feats.word[self.word_texts >= LEAST_TEXTS]] = True
+        gram = self.gram_texts >= LEAST_TEXTS
+        net.p["word"][~word] = 0
+        net.p["gram"][~gram] = 0
+        np.maximum.at(net.p["word"][:, 0], feats.word, (np.clip(self.word - SURE, 0, 6) * 0.5).astype(_F))
+        np.maximum(net.p["gram"][:, 0], (np.clip(self.gram - SURE, 0, 6) * 0.5).astype(_F), out=net.p["gram"][:, 0])
+        return word, gram
 
 
 class _Adam:
@@ -296,14 +343,16 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 7)
     words, feats = _corpus(texts)
     text, at, size = windows(words.counts, words.first)
     first = np.searchsorted(text, np.arange(len(texts) + 1))
-    clue = _clues(words, feats, y)[feats.index] if words.n else np.zeros(0)
+    evidence = _Evidence.of(words, feats, y)
+    clue = evidence.clues(feats)[feats.index] if words.n else np.zeros(0)
+    word_learns, gram_learns = evidence.plant(net, feats)
     strength = np.array([clue[a : a + n].max(initial=0) for a, n in zip(at, size)])
     adam = _Adam(net.p, RATE)
     order = np.argsort(feats.owner, kind="stable")
     own, gram = feats.owner[order], feats.gram[order]
     begin = np.searchsorted(own, np.arange(feats.n + 1))
     for epoch in range(epochs):
-        if epoch >= 3:
+        if epoch >= 3 and epoch % 2:
             strength = net.window_logits(feats, at, size).astype(float)
         by_strength = np.lexsort((-strength, text))
         chosen = by_strength[first[:-1]]
@@ -324,7 +373,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 7)
             spots = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[some], many)
             sub = Features.__new__(Features)
             sub.word, sub.owner, sub.gram, sub.weight = feats.word[some], np.repeat(np.arange(len(some)), many), gram[spots], feats.weight[some]
-            keep = (rng.random(len(some)) > 0.3).astype(_F)
+            keep = (rng.random(len(some)) > 0.3).astype(_F) * word_learns[sub.word]
             table = np.zeros((len(rows), DIM), _F)
             table[real] = net.embed(sub, keep)
             tape: dict = {}
@@ -338,6 +387,9 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 7)
             g["word"], g["gram"] = np.zeros((len(word_rows), DIM), _F), np.zeros((len(gram_rows), DIM), _F)
             np.add.at(g["word"], word_at, by_row * keep[:, None])
             np.add.at(g["gram"], gram_at, (by_row * sub.weight[:, None])[sub.owner])
+            g["gram"] *= gram_learns[gram_rows][:, None]
+            for name, rows_of in (("word", word_rows), ("gram", gram_rows)):
+                g[name] += DECAY / max(1, len(w)) * net.p[name][rows_of]
             adam.step(g, {"word": word_rows, "gram": gram_rows})
     return net
 
@@ -354,17 +406,33 @@ def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Network:
-    """Fit on a bounded sample of the labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, sample_bytes: int = SAMPLE_BYTES) -> Network:
+    """Fit on a bounded sample of the labelled rows that are not held out.
+
+    The sample is taken in order of a hash of the id: so many texts of a class, as long as they
+    fit ``sample_bytes`` together.  Texts of any length are taken, whole.
+    """
     known = labels.where("toxic is not null and doc_id is not null").where(crc_mod5(F.col("doc_id")) != 0)
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    by_hash = F.xxhash64("doc_id")
-    chosen = known.where("toxic = 1").orderBy(by_hash, "doc_id").limit(per_class).unionByName(known.where("toxic = 0").orderBy(by_hash, "doc_id").limit(per_class))
-    texts = ids_and_texts(docs).where((F.octet_length("text") <= TRAIN_BYTES) & (F.length("text") > 0))
-    # 2 * per_class ids at most, so the broadcast and what comes back are bounded
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted({(r.doc_id, r.text, int(r.toxic)) for r in rows})
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)")
+    known = known.withColumn("place", F.xxhash64("doc_id"))
+    chosen = [known.where(F.col("toxic") == y).orderBy("place", "doc_id").limit(n) for y, n in ((1, toxic), (0, clean))]
+    texts = ids_and_texts(docs).where(F.length("text") > 0)
+    # a few thousand ids at most, so the broadcast is bounded, and of their texts as many as fit
+    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text"))
+    rows = checkpointed(rows)
+    before = Window.partitionBy("toxic").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = rows.select("doc_id", "toxic", "place", F.octet_length("text").alias("size"))
+    fitting = sizes.withColumn("total", F.sum("size").over(before)).where((F.col("total") <= sample_bytes) | (F.col("total") == F.col("size"))).select("doc_id")
+    sample = rows.join(F.broadcast(fitting), "doc_id").select("doc_id", "text", "toxic")
+
+    def learn(table: pa.Table) -> pa.Table:
+        found = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))))
+        net = fit([t for _, t, _ in found], [int(y) for _, _, y in found])
+        return pa.table([pa.array([zlib.compress(pickle.dumps(net.p), 1)], pa.binary())], names=["model"])
+
+    # the sample is small and bounded: one task fits the network, and only its parameters come back
+    model = sample.withColumn("all", F.lit("all")).groupBy("all").applyInArrow(learn, "model binary").first()
+    return Network(pickle.loads(zlib.decompress(model.model))) if model else fit([], [])
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
@@ -381,10 +449,10 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 def drop(docs: DataFrame, net: Network) -> DataFrame:
     """The documents that are not predicted toxic, all their columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = boxed(docs)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept = pa.array(score_texts(shared.value, batch.column("text")) < 0.5)
-        return pa.RecordBatch.from_arrays([batch.column("row").filter(kept)], ["row"])
+        kept = pa.array(score_texts(shared.value, batch.column("row").field("text")) < 0.5)
+        return batch.filter(kept)
 
-    return map_batches(boxed, run, T.StructType([boxed.schema["row"]])).select("row.*")
+    return map_batches(rows, run, rows.schema).select("row.*")
