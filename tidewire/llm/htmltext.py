@@ -1,8 +1,9 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page is cut into blocks at block-level tags.  A linear classifier scores each block from
-the elements around it, their class and id words, its share of link text, its length and
-its punctuation; the score becomes a capacity to the source (content) or to the sink
+the elements around it, the words that name them, its share of link text, its length and its
+punctuation.  Elements that say what they are weigh much; the rest weighs as much as the
+smoothness edges, so that the cut decides it.  The score becomes a capacity to the source (content) or to the sink
 (boilerplate).  Smoothness edges join neighbours on the page and blocks of one container;
 they weigh less the farther apart two blocks are in the document tree.  The minimum cut is
 the labelling with the least total cost, so a doubtful block goes with its surroundings and
@@ -41,7 +42,7 @@ from pyspark.sql import types as T
 from tidewire.llm.common import map_batches
 
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|svg|math|iframe|object|textarea|select|canvas|audio|video)\b(?:[^>"']|"[^"]*"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-z][a-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""",
+    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|svg|math|iframe|object|textarea|select|canvas|audio|video)\b(?:[^>"']|"[^"]*"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-z][a-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|<[!?][^>]*>""",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""([a-z_:-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -55,6 +56,12 @@ OUTSIDE = frozenset("nav footer aside form button menu dialog fieldset head".spl
 INSIDE = frozenset("article main".split())
 #: Class, id and role words of parts that are not the article; a star stands for any ending.
 OUTSIDE_WORDS = "ad ads advert* adsense sponsor* promo promot* banner* cookie* consent gdpr notice* notification* popup modal overlay newsletter* subscri* share sharing social related recommend* sidebar* sidenav menu* nav navbar navigation breadcrumb* footer foot masthead topbar toolbar comment* disqus replies respond login signin signup register search searchform widget* pagination pager copyright legal disclaimer alert* skip toc complementary contentinfo".split()
+#: Of these, the ones that are subjects of articles too: in an ``id``, which may be a heading's slug, they are a hint only.
+SUBJECTS = "consent gdpr notice* notification* social search login signin signup register copyright legal disclaimer alert* replies respond related share sharing complementary".split()
+#: Words that say where a part is or what holds it; beside them a word of another part says what the part is.
+STRUCTURE = frozenset("site page global top bottom left right primary secondary outer inner wrap wrapper container area section block panel box bar list item items links link buttons button icons row col column group holder region".split())
+#: Elements whose class, id and role name a part of the page; on others a class is a hint.
+CONTAINERS = frozenset("html body div section aside nav header footer main article form ul ol dl table tbody tr td details center figure fieldset menu dialog".split())
 #: Before these, the words of a class say what the page has around the element, not what the element is.
 MODIFIERS = frozenset("has no not with without".split())
 LANDMARKS = frozenset("h1 nav header footer".split())
@@ -62,30 +69,31 @@ INSIDE_WORDS = "article post entry story content main body text prose".split()
 
 #: Weights of the classifier, in nats; above zero is content.
 WEIGHTS = {
-    "bias": -0.6,
+    "bias": -1.5,
     "outside": -14.0,
     "outside_word": -12.0,
+    "outside_hint": -2.0,
     "page_header": -14.0,
     "hidden": -14.0,
     "inside": 6.0,
     "inside_word": 1.5,
     "paragraph": 0.8,
     "heading": 0.4,
-    "list_item": -0.5,
+    "list_item": -0.2,
     "link_share": -3.0,
     "per_log_char": 0.35,
     "sentence": 0.9,
     "boilerplate_phrase": -1.5,
 }
 _PHRASE = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved|cookies?|subscribe|sign up|log ?in|advertisement|sponsored|privacy policy|terms of (?:use|service)", re.I)
-NEIGHBOUR, CONTAINER = 0.7, 0.5
+NEIGHBOUR, CONTAINER = 1.5, 0.8
 
 
 def _matcher(words: list[str]) -> re.Pattern:
     return re.compile("|".join(re.escape(w[:-1]) + r"\w*" if w.endswith("*") else re.escape(w) for w in words))
 
 
-_OUT, _IN = _matcher(OUTSIDE_WORDS), _matcher(INSIDE_WORDS)
+_OUT, _IN, _SUBJECT = _matcher(OUTSIDE_WORDS), _matcher(INSIDE_WORDS), _matcher(SUBJECTS)
 
 
 @dataclass
@@ -95,6 +103,7 @@ class Block:
     tag: str
     path: tuple[int, ...]
     score: float = 0.0
+    title: bool = False
 
 
 @dataclass(eq=False)
@@ -103,6 +112,7 @@ class _Open:
     number: int
     outside: bool = False
     outside_word: bool = False
+    outside_hint: bool = False
     inside: bool = False
     inside_word: bool = False
     header: bool = False
@@ -117,25 +127,40 @@ class _Open:
         """Forget signs of other parts on an element that wraps the page."""
         holds = self.core if has_core else self.landmark or (self.tag == "form" and self.content)
         if self.tag in ("html", "body") or (self.core and self.inside) or (holds and 2 * self.chars > total):
-            self.outside_word = False
+            self.outside_word = self.outside_hint = False
             self.outside &= self.tag != "form"
             self.header &= self.tag == "header"
 
 
+def _named(made: _Open, attribute: str, parts: list[str]) -> None:
+    """What one token of a class, id or role says of an element.
+
+    A token of nothing but words of other parts, structure and content names the part; one
+    that has other words too, an id of a subject, and a class of a paragraph only hint at it.
+    """
+    if not parts or parts[0] in MODIFIERS:
+        return
+    out = [p for p in parts if _OUT.fullmatch(p)]
+    made.inside_word |= any(_IN.fullmatch(p) for p in parts)
+    if made.tag in CONTAINERS:
+        made.header |= "header" in parts and not made.inside_word
+    if not out or made.inside:
+        return
+    plain = all(p in out or p in STRUCTURE or p.isdigit() or _IN.fullmatch(p) for p in parts)
+    if made.tag in CONTAINERS and plain and not (attribute == "id" and all(_SUBJECT.fullmatch(p) for p in out)):
+        made.outside_word = True
+    elif made.tag in CONTAINERS or (attribute == "class" and plain):
+        made.outside_hint = True
+
+
 def _opened(tag: str, attributes: str, number: int) -> _Open:
     made = _Open(tag, number, outside=tag in OUTSIDE, inside=tag in INSIDE, header=tag == "header")
     if attributes.strip(" /"):
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             if name in ("class", "id", "role"):
-                parts = []
                 for token in value.split():
-                    named = [p.lower() for p in _PART.findall(token)]
-                    if named and named[0] not in MODIFIERS:
-                        parts += named
-                made.inside_word |= any(_IN.fullmatch(p) for p in parts)
-                made.outside_word |= any(_OUT.fullmatch(p) for p in parts)
-                made.header |= "header" in parts and not made.inside_word
+                    _named(made, name, [p.lower() for p in _PART.findall(token)])
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 made.hidden = True
     return made
@@ -173,7 +198,7 @@ def blocks(page: str) -> list[Block]:
             if any(o.tag == "a" for o in stack):
                 links += len(text)
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag, closes, attributes = (m[3] or m[6] or "").lower(), m[2] or m[5], m[4] or m[7] or ""
         if not tag:
             continue
         if tag == "br":
@@ -181,7 +206,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             close()
-        if m[2]:
+        if closes:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -189,7 +214,7 @@ def blocks(page: str) -> list[Block]:
                 # a stray end tag of a small element does not close the part of the page it is in
                 if tag in INLINE and stack[k].tag not in INLINE:
                     break
-        elif tag not in VOID and not m[4].endswith("/"):
+        elif tag not in VOID and not attributes.endswith("/"):
             if tag in CLOSES_P or tag == "li":
                 own = "li" if tag == "li" else "p"
                 for k in range(len(stack) - 1, -1, -1):
@@ -199,7 +224,7 @@ def blocks(page: str) -> list[Block]:
                     if stack[k].tag not in INLINE:
                         break
             number += 1
-            element = _opened(tag, m[4], number)
+            element = _opened(tag, attributes, number)
             # an article's own header opens it; one in its midst, or outside it, is a part of the page
             element.header &= not any(o.inside and not o.begun for o in stack)
             if tag in LANDMARKS:
@@ -215,7 +240,7 @@ def blocks(page: str) -> list[Block]:
             stack.append(element)
             if element.inside and tag not in cores:
                 cores[tag] = stack[:]
-            if element.outside or element.outside_word or element.header:
+            if element.outside or element.outside_word or element.outside_hint or element.header:
                 signs.append(element)
     if at < len(page):
         pieces.append(html.unescape(page[at:]))
@@ -228,17 +253,32 @@ def blocks(page: str) -> list[Block]:
         o.core = True
     for o in signs:
         o.unwrap(bool(core), total)
+    _free_title(out, around)
     for block, elements in zip(out, around):
         block.score = _score(block, elements)
     return out
 
 
+def _free_title(found: list[Block], around: list[tuple[_Open, ...]]) -> None:
+    """A page header's only first heading is the article's title where the article begins without a heading."""
+    core = next((i for i, elements in enumerate(around) if any(o.inside for o in elements)), None)
+    tops = [i for i, block in enumerate(found) if block.tag == "h1"]
+    if core is None or len(tops) != 1 or tops[0] >= core or found[core].tag in ("h1", "h2", "h3"):
+        return
+    elements = around[tops[0]]
+    if any(o.tag == "header" for o in elements) and not any(o.outside or o.outside_word or o.hidden for o in elements):
+        found[tops[0]].title = True
+
+
+
+
 def _score(block: Block, stack: tuple[_Open, ...]) -> float:
     w = WEIGHTS
     inside = any(o.inside for o in stack)
     score = w["bias"] + w["per_log_char"] * min(7.0, len(block.text).bit_length())
     score += w["outside"] * any(o.outside for o in stack) + w["outside_word"] * any(o.outside_word for o in stack) + w["hidden"] * any(o.hidden for o in stack)
-    score += w["page_header"] * any(o.header for o in stack)
+    score += w["outside_hint"] * any(o.outside_hint for o in stack)
+    score += w["inside"] if block.title else w["page_header"] * any(o.header for o in stack)
     score += w["inside"] * inside + w["inside_word"] * any(o.inside_word for o in stack)
     tag = block.tag
     score += w["paragraph"] * (tag in ("p", "blockquote", "pre")) + w["heading"] * (tag in ("h1", "h2", "h3")) + w["list_item"] * (tag == "li")
@@ -323,7 +363,7 @@ class FlowGraph:
 
 def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
     """Edges between neighbours and between successive blocks of one container."""
-    edges = [(i, i + 1, NEIGHBOUR * proximity(found[i].path, found[i + 1].path)) for i in range(len(found) - 1)]
+    edges = [(i, i + 1, NEIGHBOUR * proximity(found[i].path[:-1], found[i + 1].path[:-1])) for i in range(len(found) - 1)]
     last: dict[int, int] = {}
     for i, block in enumerate(found):
         for k, node in enumerate(block.path[-3:-1]):
