@@ -88,5 +88,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Exhaustive search in SQL: every query against every other row.
+TOPK_SQL = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), queries AS (
+    SELECT DISTINCT vec_id, w FROM whole WHERE vec_id % 100 = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, q.w AS qw, c.vec_id,
+           CAST(coalesce(list_sum(list_transform(list_zip(q.w, c.w), lambda z: coalesce(z[1] * z[2], 0))), 0) AS BIGINT) AS score
+    FROM queries q JOIN whole c ON c.vec_id <> q.vec_id
+), ranked AS (
+    SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id, qw ORDER BY score DESC, vec_id) AS place FROM scored
+)
+SELECT query_id, CAST(place AS INTEGER) AS "rank", vec_id, score FROM ranked WHERE place <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_topk_search": TOPK_SQL}

@@ -4,7 +4,9 @@ Regions hold racks and racks hold shards.  A key descends the tree: at each node
 child draws ``-ln(u) / weight`` with ``u`` hashed from the key and the child, and the least
 draw wins.  A child's draw depends on that child alone, so when the weight of a subtree
 changes, keys move only into it (if it grew) or out of it (if it shrank); elsewhere nothing
-moves.  A shard that opens a subtree of its own therefore takes rows only into itself.
+moves.  A shard that opens a subtree of its own therefore takes rows only into itself: from
+``BASE`` shards on every further shard does.  Growing a tree below that, or giving a shard
+another weight, moves rows into the whole subtree that gains weight.
 
 Everything is Spark SQL expressions; the only shuffle is the one that numbers the rows of a
 shard, and it carries a few integers per row, never a text.
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 LAW = "key"
 #: Bytes that storing a row costs besides its text.
 ROW_BYTES = 16
-#: Numbering splits each shard into so many parts, so no task sorts a whole shard.
-PARTS = 64
+#: Numbering splits each shard into parts of about so many rows, 64 at least, so no task sorts a whole shard.
+PART_ROWS, LEAST_PARTS = 50_000, 64
+#: Shards that are arranged in full regions; each one beyond them opens a region of its own.
+BASE = 40
 
 
 @dataclass(frozen=True)
@@ -37,18 +41,21 @@ class ShardTree:
     shards: tuple[tuple[tuple[int, float], ...], ...]
 
     @classmethod
-    def of(cls, n_shards: int, racks: int = 4, per_rack: int = 5, weights: dict[int, float] | None = None) -> ShardTree:
-        """Shards 0.. in order of rack and region; the one after a full region opens a new region."""
+    def of(cls, n_shards: int, racks: int = 4, per_rack: int = 5, weights: dict[int, float] | None = None, base: int = BASE) -> ShardTree:
+        """The first ``base`` shards in order of rack and region; each further one is a region of its own."""
         if n_shards < 1:
             raise ValueError("a tree needs at least one shard")
         weight = {i: float((weights or {}).get(i, 1.0)) for i in range(n_shards)}
         if min(weight.values()) <= 0:
             raise ValueError("weights must be positive")
-        n_racks = -(-n_shards // per_rack)
-        n_regions = -(-n_racks // racks)
-        shards = [[(i, weight[i]) for i in range(r * per_rack, min(n_shards, (r + 1) * per_rack))] for r in range(n_racks)]
+        full = min(n_shards, base)
+        shards = [[(i, weight[i]) for i in range(r, min(full, r + per_rack))] for r in range(0, full, per_rack)]
+        regions = [list(range(g, min(len(shards), g + racks))) for g in range(0, len(shards), racks)]
+        for i in range(full, n_shards):
+            regions.append([len(shards)])
+            shards.append([(i, weight[i])])
         rack_weight = [sum(w for _, w in rack) for rack in shards]
-        groups = [[(r, rack_weight[r]) for r in range(g * racks, min(n_racks, (g + 1) * racks))] for g in range(n_regions)]
+        groups = [[(r, rack_weight[r]) for r in region] for region in regions]
         tops = [(g, sum(w for _, w in group)) for g, group in enumerate(groups)]
         return cls(tuple(tops), tuple(map(tuple, groups)), tuple(map(tuple, shards)))
 
@@ -78,11 +85,11 @@ def assign(key: Column, tree: ShardTree) -> Column:
 def shard(docs: DataFrame, n_shards: int = 40, tree: ShardTree | None = None, grown: ShardTree | None = None) -> DataFrame:
     """Place every row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    ``slot`` numbers the rows of a shard from 0 without gaps, in order of a part that is hashed
-    from the row and then of ``doc_id``.
+    ``slot`` numbers the rows of a shard from 0 without gaps, part by part and in a part by ``doc_id``.
     """
     tree = tree or ShardTree.of(n_shards)
     grown = grown or ShardTree.of(n_shards + 1)
+    parts = max(LEAST_PARTS, -(-docs.count() // (PART_ROWS * n_shards)))
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     key = F.col("doc_id").cast("long")
     placed = docs.select(
@@ -91,10 +98,12 @@ def shard(docs: DataFrame, n_shards: int = 40, tree: ShardTree | None = None, gr
         F.crc32(raw).alias("text_crc32"),
         assign(key, tree).alias("shard"),
         assign(key, grown).alias("grown_shard"),
-    ).withColumn("part", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(PARTS)))
+        # rows that are alike in all of this are dealt out by their place in the table, which is the same when a task runs again
+        F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(parts)).alias("part"),
+    )
 
     spread = placed.repartition("shard", "part")
-    # shards x PARTS rows at most, whatever the input
+    # one row for each shard and part
     counted = spread.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window
 

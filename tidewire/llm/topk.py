@@ -6,7 +6,7 @@ terms and scatters ``query weight * posting weights`` into one dense array of sc
 block; a partition selection keeps the best k, and the lists of all blocks are merged.
 
 Queries and candidates meet in blocks: queries are dealt to stripes of at most
-``STRIPE_QUERIES`` and candidates to buckets of about ``BUCKET_ROWS``; each pair of a stripe
+``STRIPE_QUERIES`` and candidates to buckets of at most about ``BUCKET_ROWS``; each pair of a stripe
 and a bucket is one group of bounded size.  Nothing is broadcast and no group grows with the
 table.  Only the k best of each bucket and query leave a task.
 
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 SCALE = 1024
 TOP = 10
-STRIPE_QUERIES = 4096
-BUCKET_ROWS = 8192
+STRIPE_QUERIES = 16_384
+#: Rows of a bucket that a task holds as postings; a small table is dealt into more buckets, of a few rows at least.
+BUCKET_ROWS, SMALL_BUCKET, FEW_BUCKETS = 65_536, 8192, 24
 
 
 def whole_parts(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -82,7 +83,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = TOP, id_col: str = "ve
     queries = rows.where(is_query).distinct().withColumn("query", F.xxhash64("vec_id", "weights"))
     n_rows, n_queries = vectors.count(), vectors.where(is_query).count()
     stripes = max(1, math.ceil(n_queries / STRIPE_QUERIES))
-    buckets = max(1, math.ceil(n_rows / BUCKET_ROWS))
+    buckets = max(1, math.ceil(n_rows / BUCKET_ROWS), min(FEW_BUCKETS, math.ceil(n_rows / SMALL_BUCKET)))
     dealt_queries = queries.withColumn("stripe", F.pmod("query", F.lit(stripes))).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     # the row's number within its partition deals equal rows out as evenly as others
     dealt_rows = rows.withColumn("bucket", F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int")).withColumn("stripe", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))))
