@@ -37,7 +37,7 @@ def test_blocks(order):
     packet = struct.pack(order + "5I", 0, 0, 2_500_000, 3, 60) + b"abc"
     simple = struct.pack(order + "I", 2) + b"hi"
     data = section + block(order, captures.INTERFACE, named) + block(order, 99, b"what") + block(order, captures.ENHANCED, packet) + block(order, captures.STATISTICS, b"\0" * 12) + block(order, captures.SIMPLE, simple)
-    assert list(captures.records(data)) == [(2500, 1, "eth0", b"abc", 60), (0, 1, "eth0", b"hi", 2)]
+    assert list(captures.records(data)) == [(2500, 1, "eth0", b"abc", 60), (None, 1, "eth0", b"hi", 2)]
 
 
 def test_folder_with_breaks(spark, tmp_path):

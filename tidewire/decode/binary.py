@@ -55,8 +55,15 @@ def ipv6_text(addresses: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.LongType())
 def word_sum(data: pd.Series) -> pd.Series:
-    """Sum of the big-endian 16-bit words, an odd last byte counting as the high one."""
-    return data.map(lambda b: None if b is None else int(np.frombuffer(bytes(b) + b"\0" * (len(b) & 1), dtype=">u2").sum(dtype=np.int64)))
+    """Sum of the big-endian 16-bit words, an odd last byte counting as the high one: one pass over a batch."""
+    there = data.notna().to_numpy()
+    parts = [b if len(b) % 2 == 0 else bytes(b) + b"\0" for b in data[there]]
+    ends = np.cumsum([len(p) // 2 for p in parts], dtype=np.int64)
+    total = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, dtype=np.int64)
+    np.cumsum(np.frombuffer(b"".join(parts), dtype=">u2"), out=total[1:])
+    out = np.full(len(data), np.nan)
+    out[there] = total[ends] - total[np.concatenate([[0], ends[:-1]])] if len(ends) else []
+    return pd.Series(out).astype("Int64")
 
 
 def folded(total: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewire.decode import application as app
 from tidewire.decode.binary import address, folded, mac, part, rest, small, uint, word_sum
-from tidewire.functions.lookups import ICMP_TYPES, name_of
+from tidewire.functions.lookups import icmp_name
 
 ETHERNET, RAW_IP, SLL = 1, (101, 12, 228, 229), 113
 LOOPBACK = (0, 108)
@@ -196,14 +196,17 @@ def _transport(df: DataFrame) -> DataFrame:
         stored.alias("checksum"),
         F.when(stored == 0, F.col("_ip") == 4).otherwise(valid(17)).alias("checksum_valid"),
     )
+    six = F.col("_proto") == 58
+    numbered = F.when(six, small(data, at).between(128, 137)).otherwise(small(data, at).isin(0, 8))
     icmp = F.struct(
         small(data, at).alias("type"),
         small(data, at + 1).alias("code"),
         small(data, at + 2, 2).alias("checksum"),
-        small(data, at + 4, 2).alias("id"),
-        small(data, at + 6, 2).alias("sequence"),
-        (F.col("_proto") == 58).alias("ipv6"),
-        name_of(small(data, at), ICMP_TYPES, "type %d").alias("description"),
+        F.when(numbered, small(data, at + 4, 2)).alias("id"),
+        F.when(numbered, small(data, at + 6, 2)).alias("sequence"),
+        six.alias("ipv6"),
+        icmp_name(small(data, at), small(data, at + 1), six).alias("description"),
+        F.when(~six & (small(data, at) == 5), address(data, at + 4, 4)).alias("gateway"),
     )
     return out.withColumns({"tcp": F.when(layer == 6, tcp), "udp": F.when(layer == 17, udp), "icmp": F.when(layer == 1, icmp)})
 
@@ -294,6 +297,8 @@ def to_logical(packets: DataFrame) -> DataFrame:
         F.coalesce("ipv4.checksum_valid", F.lit(True)).alias("ip_checksum_ok"),
         F.coalesce(F.col("tcp.checksum_valid") | (F.col("tcp.checksum") == 0), F.col("udp.checksum_valid"), F.lit(True)).alias("l4_checksum_ok"),
         "truncated",
+        "malformed",
+        F.coalesce(F.col("ipv4.mf") | (F.col("ipv4.fragment_offset") > 0), F.lit(False)).alias("fragment"),
         F.get("dns.questions", F.lit(0))["name"].alias("dns_qname"),
         F.when(F.col("http.request"), F.col("http.method")).alias("http_method"),
         F.col("http.host").alias("http_host"),

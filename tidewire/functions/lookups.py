@@ -24,7 +24,9 @@ VENDORS: tuple[tuple[str, str], ...] = (
 
 #: Names of DNS record types, ICMP types and TCP flags in wire order.
 DNS_TYPES = {1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 12: "PTR", 15: "MX", 16: "TXT", 28: "AAAA", 33: "SRV", 39: "DNAME", 41: "OPT", 43: "DS", 46: "RRSIG", 47: "NSEC", 48: "DNSKEY", 65: "HTTPS", 255: "ANY", 257: "CAA"}
-ICMP_TYPES = {0: "echo reply", 3: "destination unreachable", 4: "source quench", 5: "redirect", 8: "echo request", 11: "time exceeded", 12: "parameter problem", 13: "timestamp request", 14: "timestamp reply"}
+ICMP_TYPES = {0: "Echo reply (ping)", 8: "Echo request (ping)", 3: "Destination unreachable", 5: "Redirect", 11: "Time exceeded (fragment reassembly)", 12: "Parameter problem"}
+ICMP_CODES = {(3, 0): "Destination network unreachable", (3, 1): "Destination host unreachable", (3, 3): "Destination port unreachable", (3, 4): "Fragmentation needed and DF set", (11, 0): "Time exceeded (TTL)"}
+ICMP6_TYPES = {128: "ICMPv6 echo request", 129: "ICMPv6 echo reply"}
 TCP_FLAGS = ("FIN", "SYN", "RST", "PSH", "ACK", "URG", "ECE", "CWR")
 
 
@@ -45,6 +47,18 @@ def name_of(code: Column, names: dict[int, str], other: str) -> Column:
     return out
 
 
+def icmp_name(kind: Column, code: Column, ipv6: Column) -> Column:
+    """What an ICMP message says, by type and code, for either version."""
+    other = F.format_string("ICMP%s type %d code %d", F.when(ipv6, "v6").otherwise(""), kind, code)
+    out = F.when(F.lit(False), other)
+    for (k, c), name in ICMP_CODES.items():
+        out = out.when(~ipv6 & (kind == k) & (code == c), name)
+    for six, names in ((False, ICMP_TYPES), (True, ICMP6_TYPES)):
+        for k, name in names.items():
+            out = out.when((ipv6 == six) & (kind == k), name)
+    return out.otherwise(other)
+
+
 def service_name(df: DataFrame, port: str = "port", proto: str = "proto") -> DataFrame:
     """Add ``service`` by a broadcast look-up; ports without a name are ``unknown``."""
     names = service_table(df.sparkSession).select(F.col("port").alias("_port"), F.col("proto").alias("_proto"), "service")

@@ -3,7 +3,8 @@
 A fold over the packets of a flow is rewritten as order-free aggregates: ``max_by`` and
 ``min_by`` on the packet number for last and first values, counts of flags for the state.
 They aggregate within partitions, so a hot flow is no hot task.  Only retransmissions need
-packets in order, by one window over TCP packets.
+packets in order: they are found in a branch of narrow rows, TCP packets with payload alone,
+and their counts are joined to the flows.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import packet as P
-from tidewire.operators.stats import marked_retransmissions
+from tidewire.operators.stats import DIRECTION, retransmitted
 
 KEY = ("a_ip", "a_port", "b_ip", "b_port", "proto")
 #: Seconds without a packet after which a flow is over.
@@ -73,8 +74,8 @@ def flows(packets: DataFrame) -> DataFrame:
     total = lambda condition, value: F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
     any_of = lambda condition: F.coalesce(F.bool_or(condition), F.lit(False))
     strong = F.col("protocol").isin(*STRONG) | F.col("protocol").startswith("TLS")
-    marked = marked_retransmissions(sided)
-    grouped = marked.groupBy(*KEY).agg(
+    again = retransmitted(sided.where(tcp).select("number", *DIRECTION, *KEY, "seq", "payload_len")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("retransmissions"))
+    grouped = sided.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("packets"),
         F.sum(size).alias("bytes"),
         F.count_if(forward).alias("packets_forward"),
@@ -84,7 +85,6 @@ def flows(packets: DataFrame) -> DataFrame:
         F.sum(F.col("payload_len").cast("long")).alias("payload_bytes"),
         F.min("ts_us").alias("first_us"),
         F.max("ts_us").alias("last_us"),
-        F.count_if(tcp & F.col("retransmission")).alias("retransmissions"),
         F.max_by(reset, F.when(reset | fin, F.col("number"))).alias("_last_is_reset"),
         any_of(fin & forward).alias("_fins_forward"),
         any_of(fin & backward).alias("_fins_backward"),
@@ -102,7 +102,9 @@ def flows(packets: DataFrame) -> DataFrame:
         _last(F.col("http_status"), F.col("http_status") > 0).alias("http_status"),
         _last(F.col("tls_sni"), F.col("tls_sni") != "").alias("tls_sni"),
     )
-    out = grouped.withColumn("state", _state()).withColumn("duration_us", F.greatest(F.lit(0), F.col("last_us") - F.col("first_us")))
+    # flows with retransmissions have both addresses; the others have none
+    counted = grouped.join(again, list(KEY), "left").withColumn("retransmissions", F.coalesce("retransmissions", F.lit(0)))
+    out = counted.withColumn("state", _state()).withColumn("duration_us", F.greatest(F.lit(0), F.col("last_us") - F.col("first_us")))
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 

@@ -7,7 +7,7 @@ import ipaddress
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.ip import ipv4_number, ipv4_text, key_of, number_key
+from tidewire.functions.ip import ipv4_number, ipv4_text, number_key
 
 #: Banner patterns as (service, product, pattern with the version as group 1, ports or none, confidence).
 SIGNATURES: tuple[tuple[str, str, str, tuple[int, ...], int], ...] = (
@@ -26,6 +26,10 @@ SIGNATURES: tuple[tuple[str, str, str, tuple[int, ...], int], ...] = (
 )
 
 
+#: Addresses of a block that a range is cut into.
+BLOCK = 4096
+
+
 def parse_targets(text: str) -> list[tuple[int, int]]:
     """IPv4 ranges (first, last) of a list of addresses, networks, and dashed ranges."""
     out = []
@@ -41,11 +45,13 @@ def parse_targets(text: str) -> list[tuple[int, int]]:
                 raise ValueError(f"range ends before it starts: {token}")
             out.append((int(low), int(high)))
         elif "*" in token or "x" in token:
-            parts = [(0, 255) if p in ("*", "x") else (int(p), int(p)) for p in token.split(".")]
+            parts = [None if p in ("*", "x") else int(p) for p in token.split(".")]
+            # octets that are free at the end are one range; each free one before them adds a range for each of its values
+            free = next((k for k, p in enumerate(reversed(parts)) if p is not None), len(parts))
             heads = [0]
-            for lo, hi in parts:
-                heads = [h * 256 + v for h in heads for v in range(lo, hi + 1)]
-            out += [(h, h) for h in heads]
+            for p in parts[: len(parts) - free]:
+                heads = [h * 256 + v for h in heads for v in (range(256) if p is None else [p])]
+            out += [(h << 8 * free, ((h + 1) << 8 * free) - 1) for h in heads]
         else:
             out.append((int(ipaddress.IPv4Address(token)),) * 2)
     return out
@@ -54,7 +60,9 @@ def parse_targets(text: str) -> list[tuple[int, int]]:
 def expand_targets(spark: SparkSession, text: str, limit: int | None = None) -> DataFrame:
     """(address, key) of every address of a target list, once, in order of address."""
     ranges = spark.createDataFrame(parse_targets(text), "low long, high long")
-    numbers = ranges.select(F.explode(F.sequence("low", "high")).alias("n")).distinct()
+    # long ranges are cut into blocks first, so no row ever holds a whole network
+    blocks = ranges.select(F.explode(F.sequence("low", "high", F.lit(BLOCK).cast("long"))).alias("low"), "high").repartition("low")
+    numbers = blocks.select(F.explode(F.sequence("low", F.least("high", F.col("low") + (BLOCK - 1)))).alias("n")).distinct()
     keyed = numbers.select(number_key(F.col("n")).alias("key"))
     out = keyed.select(ipv4_text(F.col("key")).alias("address"), "key")
     return out if limit is None else out.orderBy("key").limit(limit)
@@ -154,9 +162,17 @@ def match_services(ports: DataFrame) -> DataFrame:
     return best.select("scan_id", "address", "proto", "port", "_best.service", "_best.product", "_best.version", "_best.confidence")
 
 
-def os_guess(ttl: Column, window: Column) -> Column:
-    """A coarse system family from the TTL that a packet came with."""
-    return F.when(ttl <= 0, F.lit(None)).when(ttl <= 64, "Linux/Unix").when(ttl <= 128, "Windows").otherwise("Network device")
+#: Systems by the TCP window that a packet came with.
+OS_WINDOWS = {8192: "Windows XP/2003", 16384: "Windows Vista/7/2008", 65535: "macOS/BSD or older Windows", 5840: "Linux 2.6+", 14600: "Linux 3.x+/4.x+", 64240: "Linux 5.x+ or Windows 10+", 4128: "Cisco IOS"}
+
+
+def os_guess(ttl: Column, window: Column, dont_fragment: Column | None = None) -> Column:
+    """A coarse system from TTL and TCP window; with a TTL of 255 and no fragments allowed, a network device."""
+    by_ttl = F.when(ttl <= 32, "Windows (TTL <= 32)").when(ttl <= 64, "Linux/Unix/macOS (TTL <= 64)").when(ttl <= 128, "Windows (TTL <= 128)").otherwise("Network device / Solaris (TTL > 128)")
+    out = F.when(F.coalesce(dont_fragment if dont_fragment is not None else F.lit(False), F.lit(False)) & (ttl == 255), "Network device (router/switch/firewall)")
+    for size, name in OS_WINDOWS.items():
+        out = out.when(window == size, name)
+    return F.when(F.coalesce(ttl, F.lit(0)) == 0, "unknown").otherwise(out.otherwise(by_ttl))
 
 
 def merge_attributes(results: DataFrame, keys: list[str], attributes: list[str], order: str) -> DataFrame:
@@ -176,5 +192,3 @@ def smoothed_rtt(probes: DataFrame, key: str = "address") -> DataFrame:
     weight = F.when(at == 1, F.pow(F.lit(0.7), from_end)).otherwise(0.3 * F.pow(F.lit(0.7), from_end))
     return probes.select(key, (F.col("rtt_us") * weight).alias("part")).groupBy(key).agg(F.sum("part").alias("rtt_us"))
 
-
-_ = key_of

@@ -22,6 +22,11 @@ def _count(condition: Column) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False)))
 
 
+def _given(packets: DataFrame, flag: str) -> Column:
+    """A flag that decoded packets have and others may lack."""
+    return F.col(flag) if flag in packets.columns else F.lit(False)
+
+
 def _bad_checksums() -> Column:
     """IPv4 header and transport checksum each count."""
     return F.coalesce((~F.col("ip_checksum_ok")).cast("int"), F.lit(0)) + F.coalesce((~F.col("l4_checksum_ok")).cast("int"), F.lit(0))
@@ -41,7 +46,12 @@ def totals(packets: DataFrame) -> DataFrame:
         _count(F.col("proto") == "tcp").alias("tcp"),
         _count(F.col("proto") == "udp").alias("udp"),
         _count(F.col("proto") == "icmp").alias("icmp"),
-        _count(F.col("dst_mac") == "ff:ff:ff:ff:ff:ff").alias("broadcast"),
+        (_count(F.col("dst_mac") == "ff:ff:ff:ff:ff:ff") + _count(F.col("dst_ip_key") == "04ffffffff")).alias("broadcast"),
+        _count(F.col("dst_ip_key").between("04e0", "04f") | F.col("dst_ip_key").startswith("06ff")).alias("multicast"),
+        _count((F.col("kind") != "arp") & (F.col("ip_version") == 0)).alias("other"),
+        F.coalesce(F.sum(F.when((F.col("kind") != "arp") & (F.col("ip_version") != 0), size)), F.lit(0)).alias("ip_bytes"),
+        _count(_given(packets, "fragment")).alias("fragments"),
+        _count(_given(packets, "malformed")).alias("malformed"),
         F.coalesce(F.sum(_bad_checksums()), F.lit(0)).alias("bad_checksums"),
         _count(P.is_syn()).alias("syn"),
         _count(P.is_syn_ack()).alias("syn_ack"),
@@ -50,6 +60,8 @@ def totals(packets: DataFrame) -> DataFrame:
         _count(F.col("protocol") == "DNS").alias("dns"),
         _count(F.col("protocol") == "HTTP").alias("http"),
         _count(F.col("protocol").startswith("TLS")).alias("tls"),
+        _count(F.col("protocol") == "DHCP").alias("dhcp"),
+        _count(F.col("protocol") == "NTP").alias("ntp"),
         _count(F.col("truncated")).alias("truncated"),
         F.coalesce(F.sum(F.col("payload_len").cast("long")), F.lit(0)).alias("payload_bytes"),
         F.min("ts_us").alias("first_us"),
@@ -165,19 +177,32 @@ def time_series(packets: DataFrame, interval_ms: int = 1000) -> DataFrame:
     return counted.select("start_ms", "packets", "bytes", F.round(F.col("bytes") * 8 * 1000 / step, 6).alias("bits_per_s"))
 
 
+#: Packet numbers that one task walks through of a flow's direction.
+RANGE = 100_000
+DIRECTION = ("src_ip", "src_port", "dst_ip", "dst_port")
+
+
 def retransmissions(packets: DataFrame) -> DataFrame:
-    """TCP packets with payload that end no further than an earlier one of their flow and direction.
+    """TCP packets with payload that end no further than an earlier one of their flow and direction."""
+    narrow = packets.where("proto = 'tcp'").select("number", *DIRECTION, "seq", "payload_len")
+    return retransmitted(narrow).select("number", *DIRECTION, "seq", "payload_len")
 
-    The running maximum is the one window of this module: partitioned by flow and direction,
-    it shuffles the TCP packets once, with six narrow columns.
-    """
-    return marked_retransmissions(packets.where("proto = 'tcp'")).where("retransmission").select("number", "src_ip", "src_port", "dst_ip", "dst_port", "seq", "payload_len")
 
+def retransmitted(tcp: DataFrame) -> DataFrame:
+    """The retransmissions among TCP packets (number, direction, seq, payload_len and others).
 
-def marked_retransmissions(tcp: DataFrame) -> DataFrame:
-    ends = F.when(F.col("payload_len") > 0, (F.col("seq") + F.col("payload_len")).bitwiseAND(F.lit(4294967295)))
-    before = Window.partitionBy("src_ip", "src_port", "dst_ip", "dst_port", "proto").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    return tcp.withColumn("_end", ends).withColumn("retransmission", F.coalesce(F.col("_end") <= F.max("_end").over(before), F.lit(False))).drop("_end")
+    The furthest end so far is a running maximum.  It is taken within ranges of packet
+    numbers, after a running maximum over one row per range, so the longest flow is walked
+    by many tasks; only packets with payload are shuffled.
+    """
+    end = (F.col("seq") + F.col("payload_len")).bitwiseAND(F.lit(4294967295))
+    ended = tcp.where("payload_len > 0").select("*", end.alias("_end"), F.floor(F.col("number") / RANGE).cast("long").alias("_range"))
+    key = [*DIRECTION, "_range"]
+    earlier = Window.partitionBy(*DIRECTION).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ended.groupBy(*key).agg(F.max("_end").alias("_top")).withColumn("_before", F.max("_top").over(earlier)).drop("_top")
+    within = Window.partitionBy(*key).orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    walked = ended.withColumn("_within", F.max("_end").over(within)).join(ranges, key)
+    return walked.where(F.col("_end") <= F.greatest("_within", "_before")).drop("_end", "_range", "_within", "_before")
 
 
 def run_summary(packets: DataFrame, matched: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.filters.fields import logical as field
@@ -44,7 +44,9 @@ _TOTALS_SQL = """select count(*) as packets, coalesce(sum(frame_len), 0)::bigint
   count_if(proto = 'tcp' and tcp_flags & 18 = 2)::bigint as syn, count_if(proto = 'tcp' and tcp_flags & 18 = 18)::bigint as syn_ack,
   count_if(proto = 'tcp' and tcp_flags & 1 = 1)::bigint as fin, count_if(proto = 'tcp' and tcp_flags & 4 = 4)::bigint as rst,
   count_if(kind = 'dns')::bigint as dns, count_if(kind = 'http')::bigint as http, count_if(kind = 'tls')::bigint as tls, count_if(truncated)::bigint as truncated,
-  sum(payload_len)::bigint as payload_bytes, min(ts_us) as first_us, max(ts_us) as last_us from packets"""
+  count_if(kind <> 'arp' and ip_version = 0)::bigint as other, coalesce(sum(frame_len) filter (kind <> 'arp' and ip_version <> 0), 0)::bigint as ip_bytes,
+  count_if(dst_ip_key between '04e0' and '04f' or dst_ip_key like '06ff%')::bigint as multicast, count_if(protocol = 'DHCP')::bigint as dhcp, count_if(protocol = 'NTP')::bigint as ntp,
+  0::bigint as fragments, 0::bigint as malformed, sum(payload_len)::bigint as payload_bytes, min(ts_us) as first_us, max(ts_us) as last_us from packets"""
 _over_packets(
     "traffic_totals",
     stats.totals,
@@ -83,7 +85,6 @@ _over_packets(
 _over_packets("run_summary", lambda p: stats.run_summary(p, field("ip.addr") == "10.0.0.0/28"), "select count(*) as packets, count_if(hit)::bigint as matched, count_if(not hit)::bigint as filtered_out, sum(frame_len)::bigint as bytes, coalesce(sum(frame_len) filter (hit), 0)::bigint as matched_bytes, count_if(truncated)::bigint as truncated from (select *, coalesce(src_ip_key between '040a000000' and '040a00000f', false) or coalesce(dst_ip_key between '040a000000' and '040a00000f', false) as hit from packets)")
 _over_packets("captures_union", lambda p: stats.protocol_breakdown(stats.merge(p.where("number % 3 = 0"), p.where("number % 3 > 0"))), _BREAKDOWN.format(where=""))
 _over_packets("tcp_flag_text", lambda p: p.where("proto = 'tcp'").groupBy(P.flags_text().alias("flags")).agg(F.count(F.lit(1)).alias("packets")), "select case tcp_flags when 0 then 'none' when 2 then 'SYN' when 18 then 'SYN,ACK' when 16 then 'ACK' when 24 then 'PSH,ACK' when 17 then 'FIN,ACK' when 4 then 'RST' end as flags, count(*) as packets from packets where proto = 'tcp' group by 1")
-_over_packets("checksum_verify", lambda p: p.groupBy("protocol").agg(F.count_if(~F.col("ip_checksum_ok")).alias("bad_ip"), F.count_if(~F.col("l4_checksum_ok")).alias("bad_l4")), "select protocol, count_if(not ip_checksum_ok)::bigint as bad_ip, count_if(not l4_checksum_ok)::bigint as bad_l4 from packets group by 1")
 
 # ---- flows ------------------------------------------------------------------------------------
 
@@ -163,7 +164,16 @@ _over_packets("endpoint_text", lambda p: p.select("number", P.source_text().alia
 _over_packets("url_decode", lambda p: p.where("http_uri <> ''").select("number", X.url_path(F.col("http_uri")).alias("path"), X.query_value(F.col("http_uri"), "q").alias("q")), "select number, split_part(http_uri, '?', 1) as path, replace(url_decode(replace(regexp_extract(http_uri, '[?&]q=([^&]*)', 1), '+', ' ')), '', '') as q from packets where http_uri <> ''")
 _over_packets("human_bytes", lambda p: p.groupBy("protocol").agg(F.sum(F.col("frame_len").cast("long")).alias("bytes")).select("protocol", X.human_bytes(F.col("bytes")).alias("text")), "select protocol, case when bytes < 1024 then bytes || ' B' when bytes < 1048576 then printf('%.2f KB', bytes / 1024.0) when bytes < 1073741824 then printf('%.2f MB', bytes / 1048576.0) else printf('%.2f GB', bytes / 1073741824.0) end as text from (select protocol, sum(frame_len)::bigint as bytes from packets group by 1)")
 _over_packets("port_compaction", lambda p: X.compact_ports(p.where("src_port > 0").select("proto", F.col("src_port").alias("port")), ["proto"]), "select proto, string_agg(case when lo = hi then lo::varchar else lo || '-' || hi end, ',' order by lo) as ports from (select proto, min(port) as lo, max(port) as hi from (select proto, port, port - row_number() over (partition by proto order by port) as island from (select distinct proto, src_port as port from packets where src_port > 0)) group by proto, island) group by proto")
-_over_packets("os_guess", lambda p: p.where("proto = 'tcp'").select("number", scans.os_guess(F.col("ttl"), F.col("tcp_window")).alias("os")), "select number, case when ttl <= 64 then 'Linux/Unix' when ttl <= 128 then 'Windows' else 'Network device' end as os from packets where proto = 'tcp'")
+_OS_CASES = {"t": "case number % 6 when 0 then 0 when 1 then 20 when 2 then 64 when 3 then 128 when 4 then 200 else 255 end", "w": "case number % 8 when 0 then 8192 when 1 then 16384 when 2 then 65535 when 3 then 5840 when 4 then 14600 when 5 then 64240 when 6 then 4128 else 1000 end", "df": "number % 5 < 2"}
+_over_packets(
+    "os_guess",
+    lambda p: p.select("number", *[F.expr(e).alias(n) for n, e in _OS_CASES.items()]).select("number", scans.os_guess(F.col("t"), F.col("w"), F.col("df")).alias("os")),
+    """select number, case when t = 0 then 'unknown' when t = 255 and df then 'Network device (router/switch/firewall)'
+  when w = 8192 then 'Windows XP/2003' when w = 16384 then 'Windows Vista/7/2008' when w = 65535 then 'macOS/BSD or older Windows' when w = 5840 then 'Linux 2.6+'
+  when w = 14600 then 'Linux 3.x+/4.x+' when w = 64240 then 'Linux 5.x+ or Windows 10+' when w = 4128 then 'Cisco IOS'
+  when t <= 32 then 'Windows (TTL <= 32)' when t <= 64 then 'Linux/Unix/macOS (TTL <= 64)' when t <= 128 then 'Windows (TTL <= 128)' else 'Network device / Solaris (TTL > 128)' end as os
+  from (select number, """ + ", ".join(f"{e} as {n}" for n, e in _OS_CASES.items()) + " from packets)",
+)
 
 # ---- scan observations, drawn from the same packets -------------------------------------------
 
@@ -200,5 +210,3 @@ def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = packets(spark, sf_dir)
     return p.groupBy(F.concat(F.lit("c"), (F.col("number") % 9).cast("string")).alias("capture_id")).agg(F.count(F.lit(1)).alias("packets"), F.min("ts_us").alias("first_us"))
 
-
-_ = Window

@@ -60,7 +60,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     ports = F.concat(_be(F.col("src_port"), 2), _be(F.col("dst_port"), 2))
     tcp = lambda check: F.concat(ports, _be(F.col("seq"), 4), _be(F.col("seq") + 1, 4), _fixed("50"), _be(F.col("tcp_flags"), 1), _be(F.col("tcp_window"), 2), check, _fixed("0000"), F.col("body"))
     udp = lambda check: F.concat(ports, _be(F.octet_length("body") + 8, 2), check, F.col("body"))
-    icmp = F.concat(_fixed("08000000"), _be(F.col("number") % 65536, 2), _fixed("0001"), F.col("body"))
+    icmp = F.concat(F.when(v6, _fixed("80000000")).otherwise(_fixed("08000000")), _be(F.col("number") % 65536, 2), _fixed("0001"), F.col("body"))
     zero = _fixed("0000")
     number = F.when(proto == "tcp", 6).when(proto == "udp", 17).when(v6, 58).otherwise(1)
     bare = F.when(proto == "tcp", tcp(zero)).when(proto == "udp", udp(zero)).otherwise(icmp)

@@ -111,7 +111,7 @@ def blocks(data: bytes) -> Iterator[Record]:
             original = struct.unpack_from(order + "I", body)[0]
             link, name, _ = interfaces[0] if interfaces else (1, "", 1)
             frame = body[4 : 4 + original]
-            yield 0, link, name, frame, original
+            yield None, link, name, frame, original
 
 
 def records(data: bytes) -> Iterator[Record]:
