@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch that Python gets; bounds a worker's memory whatever the texts' lengths.
 BATCH_ROWS, BATCH_BYTES = 1000, "4m"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,10 +81,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     Unlike ``checkpoint()``, the table that is read again has the size of its files as its
     statistics; estimates that a loop's joins multiply would otherwise grow without bound.
+    What was shuffled for it is removed from the disks as soon as the table is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewire-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
