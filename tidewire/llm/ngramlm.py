@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +46,12 @@ ORDER = 3
 ONCE, MU, POWER = 120.0, 20.0, 0.6
 #: Tokens of a text that are read in one go; a longer text is read in parts, each from the state the one before ends in.
 LANE = 128
-BLOCK_BYTES = 6 << 20
-#: n-grams that one shard adds up.
-SHARD_ENTRIES = 500_000
+BLOCK_BYTES = 4 << 20
+#: n-grams that one shard adds up.  A block sends each shard one message, so messages shrink as
+#: shards grow in number; they are never more than the n-grams of the blocks.
+SHARD_ENTRIES = 2_000_000
 #: From so many hashes in a message on, their sixth bytes are counted instead of written.
-_MANY = 2048
+_MANY = 1024
 _U = np.uint64
 _START, _END = _U(0x53544152_54000001), _U(0x454E4400_00000001)
 
@@ -95,12 +97,16 @@ def _thick(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _counter(n: int) -> np.dtype:
+    return np.dtype("<u2" if n < 1 << 16 else "<u4")
+
+
 def _hash_bytes(hashes: np.ndarray) -> bytes:
     """The low six bytes of sorted 56-bit hashes, the top one being told by the shard; of many, five after a count for each value of the sixth."""
     low = np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)
     if len(hashes) < _MANY:
         return np.ascontiguousarray(low[:, :6]).tobytes()
-    many = np.bincount(low[:, 5], minlength=256).astype("<u4")
+    many = np.bincount(low[:, 5], minlength=256).astype(_counter(len(hashes)))
     return many.tobytes() + np.ascontiguousarray(low[:, :5]).tobytes()
 
 
@@ -109,8 +115,9 @@ def _hashes(data: bytes, n: int, top: int) -> np.ndarray:
     if n < _MANY:
         out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
     else:
-        out[:, :5] = np.frombuffer(data, dtype=np.uint8, offset=1024).reshape(-1, 5)
-        out[:, 5] = np.repeat(np.arange(256, dtype=np.uint8), np.frombuffer(data, dtype="<u4", count=256))
+        kind = _counter(n)
+        out[:, :5] = np.frombuffer(data, dtype=np.uint8, offset=256 * kind.itemsize).reshape(-1, 5)
+        out[:, 5] = np.repeat(np.arange(256, dtype=np.uint8), np.frombuffer(data, dtype=kind, count=256))
     out[:, 6] = top
     return out.view("<u8").ravel()
 
@@ -126,12 +133,12 @@ def _table(schema: T.StructType, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, kinds[f.dataType]) for c, f in zip(columns, schema)], names=[f.name for f in schema])
 
 
-def ask(block: int, texts: pa.Array, trained: np.ndarray, order: int, shards: int) -> list[tuple]:
+def ask(block: int, texts: pa.Array, trained: np.ndarray, orders: tuple[int, ...], shards: int) -> list[tuple]:
     """What a block asks of each shard: its distinct n-grams and their counts in training texts."""
     grams = Grams(texts)
     rows = []
     learns = np.repeat(trained, grams.lengths)
-    for k in range(1, order + 1):
+    for k in orders:
         at, hashes = grams.ending(k)
         distinct, inverse = np.unique(hashes, return_inverse=True)
         counts = np.bincount(inverse, weights=learns[at], minlength=len(distinct)).astype(np.int64)
@@ -305,7 +312,7 @@ def weigh(grams: Grams, answers: dict[int, np.ndarray], order: int, n: int, v: i
         distinct, inverse = np.unique(hashes, return_inverse=True)
         if len(distinct) != len(answers[k]):
             raise ValueError("a block got answers that are not for its n-grams")
-        number = np.full(len(grams.tokens), -1, np.int64)
+        number = np.full(len(grams.tokens), -1, np.int32)
         number[where] = inverse
         count = answers[k]
         if k == 1:
@@ -373,17 +380,22 @@ def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, s
     shards = 256 << max(0, math.ceil(math.log2(max(1, size * order / 5 / shard_entries / 256))))
     blocks = checkpointed(_packed(rows.select("doc_id", (crc_mod5(F.col("doc_id")) == 1).alias("held_out"), "text"), block_bytes))
 
-    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, data in zip(*(batch.column(c).to_pylist() for c in ("block", "texts"))):
-                table = _texts(data)
-                trained = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-                yield from _table(_ASK, ask(block, table.column("text"), trained, order, shards)).to_batches()
+    def asking(orders: tuple[int, ...]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, data in zip(*(batch.column(c).to_pylist() for c in ("block", "texts"))):
+                    table = _texts(data)
+                    trained = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+                    yield from _table(_ASK, ask(block, table.column("text"), trained, orders, shards)).to_batches()
+
+        return blocks.mapInArrow(run, _ASK)
 
     def answering(key: tuple, table: pa.Table) -> pa.Table:
         return _table(_ANSWER, answer(key[0].as_py(), list(zip(*(table.column(c).to_pylist() for c in ("k", "block", "n", "hashes", "counts")))), shards))
 
-    answers = checkpointed(blocks.mapInArrow(asking, _ASK).groupBy("shard").applyInArrow(answering, _ANSWER))
+    # long n-grams are the most, so each order from the third on has a shuffle of its own, and its files go before the next
+    turns = [tuple(range(1, min(2, order) + 1)), *((k,) for k in range(3, order + 1))]
+    answers = reduce(DataFrame.unionByName, [checkpointed(asking(orders).groupBy("shard").applyInArrow(answering, _ANSWER)) for orders in turns])
     v, n = answers.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
 
     def scoring(key: tuple, packed: pa.Table, answered: pa.Table) -> pa.Table:
