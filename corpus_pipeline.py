@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir).  All but the last return the columns of
 ``documents``; the last returns one row per packed piece.
+
+Null and empty texts pass the filters and are packed as their end id.  Of repeated rows, and
+of an id with several texts, near-dedup keeps one row; rows with a null id stay unless another
+row has their set of shingles.  Without labels the network calls nothing toxic; without
+benchmark items nothing is contaminated; an empty table gives an empty result.  Other columns
+are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
