@@ -64,8 +64,11 @@ def _state() -> Column:
     return F.when(F.col("proto") == "tcp", tcp).when(F.col("proto") == "udp", "established").otherwise("unknown")
 
 
-def flows(packets: DataFrame) -> DataFrame:
-    """One row per flow: packets, bytes and payload by direction, times, state, retransmissions, last attributes."""
+def flows(packets: DataFrame, *more: Column) -> DataFrame:
+    """One row per flow: packets, bytes and payload by direction, times, state, retransmissions, last attributes.
+
+    ``more`` are further aggregates over the packets with their flow key, taken in the same grouping.
+    """
     sided = keyed(packets)
     size = F.col("frame_len").cast("long")
     tcp = F.col("proto") == "tcp"
@@ -101,6 +104,7 @@ def flows(packets: DataFrame) -> DataFrame:
         _last(F.col("http_uri"), F.col("http_uri") != "").alias("http_uri"),
         _last(F.col("http_status"), F.col("http_status") > 0).alias("http_status"),
         _last(F.col("tls_sni"), F.col("tls_sni") != "").alias("tls_sni"),
+        *more,
     )
     # flows with retransmissions have both addresses; the others have none
     counted = grouped.join(again, list(KEY), "left").withColumn("retransmissions", F.coalesce("retransmissions", F.lit(0)))

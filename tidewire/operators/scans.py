@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.ip import ipv4_number, ipv4_text, number_key
+from tidewire.functions.lookups import service_name
+from tidewire.functions.names import port_state_rank
 
 #: Banner patterns as (service, product, pattern with the version as group 1, ports or none, confidence).
 SIGNATURES: tuple[tuple[str, str, str, tuple[int, ...], int], ...] = (
@@ -115,6 +117,38 @@ def port_results(probes: DataFrame) -> DataFrame:
     )
 
 
+#: Texts of a port that a later result may fill.
+FILLABLE = ("banner", "product", "version", "extra_info")
+
+
+def finalize(results: DataFrame) -> DataFrame:
+    """One row for each port of a scan's host, from any number of results with ``seq``.
+
+    The most telling state stands (see ``PORT_STATES``).  Texts that are empty and numbers that
+    are zero are filled from the other results in the order of state and ``seq``; the highest
+    confidence counts.  A port without a service gets the name of its number.
+    """
+    order = F.struct(port_state_rank(F.col("state")).alias("rank"), F.col("seq"))
+    first = lambda c, given: F.min_by(F.col(c), F.when(given, order))
+    merged = results.groupBy("scan_id", "address", "proto", "port").agg(
+        F.min_by("state", order).alias("state"),
+        F.coalesce(F.min_by("service", order), F.lit("")).alias("_service"),
+        *[F.coalesce(first(c, F.col(c) != ""), F.lit("")).alias(c) for c in FILLABLE],
+        *[F.coalesce(first(c, F.col(c) != 0), F.lit(0)).alias(c) for c in ("rtt_us", "ttl", "tcp_window")],
+        F.coalesce(F.max("confidence"), F.lit(0)).alias("confidence"),
+    )
+    named = service_name(merged)
+    return named.withColumn("service", F.when(F.col("_service") != "", F.col("_service")).otherwise(F.col("service"))).drop("_service")
+
+
+def host_systems(hosts: DataFrame, ports: DataFrame) -> DataFrame:
+    """Hosts with ``os_guess``: by their TTL and the window of their first TCP port that has one."""
+    windows = ports.where("proto = 'tcp' and tcp_window <> 0").groupBy("scan_id", "address").agg(F.min_by("tcp_window", "port").alias("_window"))
+    guessed = hosts.join(windows, ["scan_id", "address"], "left")
+    guess = os_guess(F.col("ttl"), F.coalesce("_window", F.lit(0)))
+    return guessed.withColumn("os_guess", F.when(F.col("ttl") > 0, guess).otherwise("")).drop("_window")
+
+
 def host_results(probes: DataFrame) -> DataFrame:
     """One row for each host: first round-trip time, first TTL and first TCP window that are there."""
     first = lambda c, given: F.min_by(F.col(c), F.when(given, F.col("seq")))

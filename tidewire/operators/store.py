@@ -61,3 +61,31 @@ def latest(df: DataFrame, key: str, by: str) -> DataFrame:
     """One row for each key, the one with the largest ``by``."""
     row = F.struct(*[F.col(c) for c in df.columns])
     return df.groupBy(key).agg(F.max_by(row, F.col(by)).alias("_row")).select("_row.*")
+
+
+def flow_report(flows: DataFrame, capture_id: str | None = None, limit: int = 200) -> DataFrame:
+    """Stored flows of one or all captures, those with most bytes first."""
+    rows = flows if capture_id is None else flows.where(F.col("capture_id") == capture_id)
+    return rows.orderBy(F.desc("bytes"), *[c for c in rows.columns if c != "bytes"]).limit(limit)
+
+
+def packet_report(packets: DataFrame, capture_id: str | None = None, limit: int = 500) -> DataFrame:
+    """Stored packets of one or all captures, the highest numbers first; the choice of a capture precedes the limit."""
+    rows = packets if capture_id is None else packets.where(F.col("capture_id") == capture_id)
+    return rows.orderBy(F.desc("number"), *[c for c in rows.columns if c != "number"]).limit(limit)
+
+
+#: Flows of a capture that are stored.
+STORED_FLOWS = 5000
+
+
+def stored_flows(flows: DataFrame, capture_id: str) -> DataFrame:
+    """The rows that storing a capture keeps of its flows: the most recent ones."""
+    key = ("a_ip", "a_port", "b_ip", "b_port", "proto")
+    return flows.orderBy(F.desc("last_us"), *key).limit(STORED_FLOWS).withColumn("capture_id", F.lit(capture_id))
+
+
+def save_capture(summary: DataFrame, flows: DataFrame, capture_id: str, path: str) -> None:
+    """A capture's summary and flows in partitions of its id; saving it again replaces them."""
+    save(summary.withColumn("capture_id", F.lit(capture_id)), f"{path}/captures", "capture_id", "overwrite")
+    save(stored_flows(flows, capture_id), f"{path}/flows", "capture_id", "overwrite")
