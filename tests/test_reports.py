@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidewire.functions import ip as IP
 from tidewire.functions import names as N
 from tidewire.operators import flows as W
 from tidewire.operators import reports, stats, store
@@ -124,3 +125,12 @@ def test_templates_and_binary(spark):
     assert [r[0] for r in df.select(N.expand_template(F.col("t"), F.col("g"))).collect()] == ["a v ($1)", "plain"]
     texts = spark.createDataFrame([(b"GET / HTTP/1.1\r\n",), (bytes(7) + b"abc",), (b"",), (None,), (b"a" * 69 + bytes(31),)], "b binary")
     assert [r[0] for r in texts.select(N.looks_binary(F.col("b"))).collect()] == [False, True, False, False, True]
+
+
+def test_address_classes(spark):
+    wanted = {
+        "0.0.0.0": "unspecified", "127.9.9.9": "loopback", "::1": "loopback", "255.255.255.255": "broadcast", "239.1.1.1": "multicast", "ff02::1": "multicast", "169.254.3.4": "link-local", "fe80::1": "link-local",
+        "172.31.0.1": "private", "172.32.0.1": "public", "fd00::1": "private", "100.64.0.1": "reserved", "100.128.0.1": "public", "198.19.1.1": "reserved", "198.20.0.1": "public", "192.0.2.1": "reserved", "241.0.0.1": "reserved", "8.8.8.8": "public",
+    }
+    df = spark.createDataFrame([(a, IP.key_of(a)) for a in wanted], "address string, key string")
+    assert {r[0]: r[1] for r in df.select("address", IP.ip_class(F.col("key"))).collect()} == wanted

@@ -67,7 +67,7 @@ CLASSES: tuple[tuple[str, list[str]], ...] = (
     ("multicast", ["224.0.0.0/4", "ff00::/8"]),
     ("link-local", ["169.254.0.0/16", "fe80::/10"]),
     ("private", ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fc00::/7"]),
-    ("reserved", ["0.0.0.0/8", "192.0.0.0/16", "203.0.0.0/16", "240.0.0.0/4"]),
+    ("reserved", ["0.0.0.0/8", "100.64.0.0/10", "192.0.0.0/16", "198.18.0.0/15", "203.0.0.0/16", "240.0.0.0/4"]),
 )
 
 
