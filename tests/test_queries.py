@@ -12,6 +12,8 @@ TABLES = ("events", "pages", "documents", "customer", "orders", "lineitem")
 QUERIES = catalog.QUERIES | decode_catalog.QUERIES | report_catalog.QUERIES
 ORACLES = catalog.ORACLES | decode_catalog.ORACLES | report_catalog.ORACLES
 CASES = sorted(ORACLES)
+#: Queries whose right answer has no rows.
+EMPTY = {"filter_empty_set"}
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +36,6 @@ def test_same_rows_as_sql(spark, con, name):
     assert sorted(got.columns) == columns
     at = [[c[0] for c in wanted.description].index(c) for c in columns]
     rows = wanted.fetchall()
-    assert rows
+    assert bool(rows) != (name in EMPTY)
     expected = Counter(tuple(rounded(row[i]) for i in at) for row in rows)
     assert Counter(tuple(rounded(row[c]) for c in columns) for row in got.collect()) == expected
