@@ -76,6 +76,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new place in the shared folder, which goes when the session ends."""
+    path = f"{shared_dir(spark)}/tidewire-{uuid.uuid4().hex}"
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def place() -> Column:
+    """Where a row lies in a table that was written: the same however often a task runs again."""
+    return F.xxhash64("_metadata.file_name", "_metadata.row_index")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table written to the shared folder, which goes when the session ends.
 
@@ -84,14 +98,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     What was shuffled for it is removed from the disks as soon as the table is written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewire-{uuid.uuid4().hex}"
+    path = scratch(spark)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

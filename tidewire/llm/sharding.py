@@ -8,8 +8,9 @@ moves.  A shard that opens a subtree of its own therefore takes rows only into i
 ``BASE`` shards on every further shard does.  Growing a tree below that, or giving a shard
 another weight, moves rows into the whole subtree that gains weight.
 
-Everything is Spark SQL expressions; the only shuffle is the one that numbers the rows of a
-shard, and it carries a few integers per row, never a text.
+Everything is Spark SQL expressions.  Id, size and checksum of every row are written once, so
+that what is counted and what is numbered are the same rows whatever the input came from and
+however often a task runs again; the shuffles carry these few integers per row, never a text.
 
 Edge cases: a null ``doc_id`` is a key like any other; a null text has no bytes (size 16,
 crc32 0); rows that repeat a ``doc_id`` share its shard and get slots of their own; an empty
@@ -21,8 +22,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import checkpointed, place
+
 LAW = "key"
 #: Bytes that storing a row costs besides its text.
 ROW_BYTES = 16
@@ -89,29 +93,26 @@ def shard(docs: DataFrame, n_shards: int = 40, tree: ShardTree | None = None, gr
     """
     tree = tree or ShardTree.of(n_shards)
     grown = grown or ShardTree.of(n_shards + 1)
-    parts = max(LEAST_PARTS, -(-docs.count() // (PART_ROWS * n_shards)))
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    key = F.col("doc_id").cast("long")
-    placed = docs.select(
-        key.alias("doc_id"),
-        (F.octet_length(raw) + F.lit(ROW_BYTES)).cast("long").alias("size"),
-        F.crc32(raw).alias("text_crc32"),
-        assign(key, tree).alias("shard"),
-        assign(key, grown).alias("grown_shard"),
-        # rows that are alike in all of this are dealt out by their place in the table, which is the same when a task runs again
-        F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(parts)).alias("part"),
+    rows = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")))
+    parts = max(LEAST_PARTS, -(-rows.count() // (PART_ROWS * n_shards)))
+    placed = rows.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        assign(F.col("doc_id"), tree).alias("shard"),
+        assign(F.col("doc_id"), grown).alias("grown_shard"),
+        # also deals out rows that are alike in all columns
+        F.pmod(place(), F.lit(parts)).alias("part"),
     )
-
     spread = placed.repartition("shard", "part")
     # one row for each shard and part
     counted = spread.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32")
     ranked = spread.withColumn("nth", F.row_number().over(within))
-    return ranked.join(F.broadcast(offsets), ["shard", "part"]).select(
+    return ranked.join(offsets, ["shard", "part"]).select(
         "doc_id",
         "size",
         "text_crc32",
