@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import importlib
-import math
 import random
 import re
 import string
@@ -148,10 +147,17 @@ def _some(values: list[str], n: int) -> list[str]:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> MarkovPair:
-    """Fit both models on labelled strings of at most about ``sample_docs`` documents."""
-    total = docs.select("doc_id").count()
-    every = max(1, math.ceil(total / sample_docs))
-    sample = ids_and_texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).where("text is not null")
+    """Fit both models on labelled strings of at most ``sample_docs`` documents.
+
+    Documents are chosen by a hash of id and text, so rows that are alike count once and a null
+    id is an id like any other.
+    """
+    rows = ids_and_texts(docs).where("text is not null").withColumn("key", F.xxhash64("doc_id", "text"))
+    keys = rows.select("key").distinct()
+    every = max(1, keys.count() // sample_docs)
+    # so many numbers at most, hence broadcast
+    chosen = keys.where(F.pmod("key", F.lit(every)) == 0).orderBy("key").limit(sample_docs)
+    sample = rows.join(F.broadcast(chosen), "key").dropDuplicates(["key"]).select("doc_id", "text")
 
     def labelled(batch: pa.RecordBatch) -> pa.RecordBatch:
         strings, random_label = [], []
@@ -167,9 +173,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> MarkovPair:
             random_label += [True] * len(values) + [False] * len(words)
         return pa.RecordBatch.from_arrays([pa.array(strings, pa.string()), pa.array(random_label, pa.bool_())], ["token", "is_random"])
 
-    rows = map_batches(sample, labelled, T.StructType([T.StructField("token", T.StringType()), T.StructField("is_random", T.BooleanType())]))
-    # at most SAMPLE_WORDS + SAMPLE_VALUES strings from each of about sample_docs documents; sorted, so the fit does not depend on task order
-    found = sorted({(r.token, r.is_random) for r in rows.distinct().toLocalIterator()})
+    strings = map_batches(sample, labelled, T.StructType([T.StructField("token", T.StringType()), T.StructField("is_random", T.BooleanType())]))
+    # at most SAMPLE_WORDS + SAMPLE_VALUES strings from each of sample_docs documents; sorted, so the fit does not depend on task order
+    found = sorted({(r.token, r.is_random) for r in strings.distinct().toLocalIterator()})
     return from_labelled([t for t, y in found if y and len(t) >= 12], [t for t, y in found if not y and not CANDIDATE.fullmatch(t)])
 
 

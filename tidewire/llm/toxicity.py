@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -406,11 +406,28 @@ def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
     return out
 
 
+def taken(sizes: list[tuple[int, int, int, int]], most: int) -> list[int]:
+    """Ids of the texts that are learnt from, out of (place, id, class, bytes) in order.
+
+    A text that does not fit beside those taken of its class is passed over and counts for
+    nothing; where no text of a class fits, its shortest is taken.
+    """
+    out: list[int] = []
+    for label in {s[2] for s in sizes}:
+        total, found = 0, []
+        for _, doc_id, _, size in (s for s in sizes if s[2] == label):
+            if total + size <= most:
+                total += size
+                found.append(doc_id)
+        out += found or [min((s for s in sizes if s[2] == label), key=lambda s: s[3])[1]]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, sample_bytes: int = SAMPLE_BYTES) -> Network:
     """Fit on a bounded sample of the labelled rows that are not held out.
 
-    The sample is taken in order of a hash of the id: so many texts of a class, as long as they
-    fit ``sample_bytes`` together.  Texts of any length are taken, whole.
+    The sample is taken in order of a hash of the id: so many texts of a class, each whole, and
+    of them those that fit ``sample_bytes`` together with the ones before.
     """
     known = labels.where("toxic is not null and doc_id is not null").where(crc_mod5(F.col("doc_id")) != 0)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)")
@@ -420,9 +437,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     # a few thousand ids at most, so the broadcast is bounded, and of their texts as many as fit
     rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text"))
     rows = checkpointed(rows)
-    before = Window.partitionBy("toxic").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = rows.select("doc_id", "toxic", "place", F.octet_length("text").alias("size"))
-    fitting = sizes.withColumn("total", F.sum("size").over(before)).where((F.col("total") <= sample_bytes) | (F.col("total") == F.col("size"))).select("doc_id")
+    # ids and sizes of a few thousand texts at most
+    sizes = sorted((r.place, r.doc_id, r.toxic, r.size) for r in rows.select("place", "doc_id", "toxic", F.octet_length("text").alias("size")).collect())
+    fitting = docs.sparkSession.createDataFrame([(i,) for i in taken(sizes, sample_bytes)], "doc_id long")
     sample = rows.join(F.broadcast(fitting), "doc_id").select("doc_id", "text", "toxic")
 
     def learn(table: pa.Table) -> pa.Table:
