@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, htmltext, licenses, neardup, ngramlm, packing, secretscan, sharding, topk, toxicity
-from tidewire.llm.common import small_batches, table
+from tidewire.llm import decontaminate, htmltext, licenses, neardup, ngramlm, packing, resampling, runs, secretscan, sharding, tokenplanes, topk, toxicity
+from tidewire.llm.common import scratch, small_batches, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    path = scratch(spark)
+    tokenplanes.write(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return tokenplanes.read(spark, path).drop("ids")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return runs.digest(runs.find(table(spark, sf_dir, "documents"), rewrite=runs.repeated_tail))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return resampling.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_html_main_text": op9_html_main_text,
         "op10_toxicity": op10_toxicity,
+        "op11_token_planes": op11_token_planes,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_importance_resampling": op13_importance_resampling,
         "pipeline": pipeline,
     }
 
