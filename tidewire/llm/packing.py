@@ -106,14 +106,16 @@ def cut(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
 class Encoder:
     """Token ids of texts, as numpy arrays."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = [t["content"] for t in spec.get("added_tokens", [])]
         splits_alike = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} | {k: v for k, v in spec["pre_tokenizer"].items() if k == "trim_offsets"}
         uncommon = [f"[^{COMMON}]", *map(re.escape, special)] if splits_alike else [""]
+        self.special = special if splits_alike else [""]
         self.uncommon, self.word = re.compile("|".join(uncommon)), re.compile(PATTERN)
         self.exact = Tokenizer.from_file(path)
         self.line = self.exact.encode("\n", add_special_tokens=False).ids
@@ -126,30 +128,36 @@ class Encoder:
             groups = [lines[i : i + _LINES] for i in range(0, len(lines), _LINES)]
             for group, found in zip(groups, self.exact.encode_batch_fast(["\n".join(["", *g]) for g in groups], add_special_tokens=False)):
                 ids = np.array(found.ids, dtype=np.uint32)
-                ends = np.flatnonzero(ids == self.line[0]).tolist()
+                # byte offsets of the line breaks and the end
+                ends = (4 * np.flatnonzero(ids == self.line[0])).tolist()
                 if len(ends) == len(group):
-                    self.known.update((w, ids[a + 1 : b].tobytes()) for w, a, b in zip(group, ends, [*ends[1:], len(ids)]))
+                    raw = ids.tobytes()
+                    self.known.update(zip(group, [raw[a + 4 : b] for a, b in zip(ends, [*ends[1:], len(raw)])]))
         rest = [w for w in words if w not in self.known]
         self.known.update((w, np.array(e.ids, dtype=np.uint32).tobytes()) for w, e in zip(rest, self.exact.encode_batch_fast(rest, add_special_tokens=False)))
 
+    def _plain(self, text: str) -> bool:
+        """Whether a text has common characters only and no special token's string."""
+        return not any(s in text for s in self.special) if text.isascii() else self.uncommon.search(text) is None
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if self.uncommon.search(t) else self.word.findall(t) for t in texts]
+        split = [self.word.findall(t) if self._plain(t) else None for t in texts]
         distinct = set(itertools.chain.from_iterable(w for w in split if w))
-        if len(self.known) + len(distinct) > REMEMBERED:
+        if len(self.known) + len(distinct) > self.remembered:
             self.known.clear()
-        if new := distinct - self.known.keys():
+        if new := distinct.difference(self.known):
             self._learn(new)
         ids = self.known.__getitem__
         return [np.array(self.exact.encode(t, add_special_tokens=False).ids, dtype=np.uint32) if w is None else np.frombuffer(b"".join(map(ids, w)), dtype=np.uint32) for t, w in zip(texts, split)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    if (path, remembered) not in _ENCODERS:
+        _ENCODERS[path, remembered] = Encoder(path, remembered)
+    return _ENCODERS[path, remembered]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, most_open: int = OPEN_SEQUENCES) -> DataFrame:

@@ -49,6 +49,8 @@ LEVEL = 3
 #: Copies of a row that take more bytes than this together are dealt out to several tasks.
 HOT_BYTES = 64 << 20
 MOST_PLANES = 32
+#: Distinct words whose ids a worker remembers, some 200 bytes each.
+REMEMBERED = 600_000
 INDEX = np.dtype([("offset", "<i8"), ("ids_before", "<i8"), ("first_doc", "<i8"), ("n_ids", "<i4"), ("n_docs", "<i4"), ("docs_size", "<i4"), ("width", "<i4"), ("sizes", "<i4", (MOST_PLANES,))])
 TAIL = np.dtype([("chunks", "<i8"), ("index", "<i8"), ("magic", "S8")])
 
@@ -206,7 +208,7 @@ class _Writer(DataSourceArrowWriter):
         context = TaskContext.get()
         part = context.partitionId() if context else 0
         name = f"part-{part:05d}-{uuid.uuid4().hex}.planes"
-        tokens = encoder(self.tokenizer)
+        tokens = encoder(self.tokenizer, REMEMBERED)
         with store.open_output_stream(f"{folder}/{name}") as out:
             writer = ChunkWriter(out, self.width, self.chunk)
             for batch in iterator:
