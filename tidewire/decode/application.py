@@ -1,194 +1,159 @@
-"""Application payloads to structs: HTTP and NTP by built-ins, DNS, TLS and DHCP by small Arrow functions."""
+"""Application payloads to structs: HTTP and NTP by built-ins, DNS, TLS and DHCP with an Arrow function each."""
 
 from __future__ import annotations
 
-import ipaddress
-import struct
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.decode.binary import latin, small
-from tidewire.functions.lookups import DNS_TYPES
+from tidewire.decode.batch import Bytes, listed, options, read_once
+from tidewire.decode.binary import latin, let, mac, part, small, uint
+from tidewire.decode.dns import messages as dns
+from tidewire.decode.tls import segments as tls
+
+__all__ = ["dhcp", "dhcp_fields", "dns", "http", "looks_like_http", "ntp", "tls"]
+
+#: Request methods.
+METHODS = (
+    "GET", "POST", "HEAD", "PUT", "DELETE", "OPTIONS", "TRACE", "CONNECT", "PATCH", "PROPFIND", "PROPPATCH", "MKCOL",
+    "COPY", "MOVE", "LOCK", "UNLOCK", "SUBSCRIBE", "NOTIFY", "PURGE", "SEARCH", "CHECKOUT", "MERGE", "REPORT", "MKACTIVITY",
+)
+_COOKIE = b"\x63\x82\x53\x63"
+
+
+def looks_like_http(payload: Column) -> Column:
+    """Whether the first bytes are a status line or a method of three to nine letters."""
+    short = "|".join(m for m in METHODS if len(m) <= 9)
+    return (F.octet_length(payload) >= 8) & latin(part(payload, 0, 16)).rlike(rf"^(HTTP/1\.|HTTP/2|({short}) )")
+
 
-METHODS = ("GET", "POST", "PUT", "DELETE", "HEAD", "OPTIONS", "PATCH", "TRACE", "CONNECT", "PROPFIND", "NOTIFY", "M-SEARCH", "SUBSCRIBE")
+def is_http(payload: Column) -> Column:
+    """Whether a first line is a request's or a status line."""
+    opened = latin(payload).rlike(rf"^(({'|'.join(METHODS)}) |HTTP/[^ \n]* \d+( |\r?\n|$))")
+    return F.coalesce((F.octet_length(payload) >= 8) & opened, F.lit(False))
 
 
 def http(payload: Column) -> Column:
-    """Start line and headers of a request or response in one segment, else NULL; a later header of one name wins."""
-    text = latin(payload)
-    head = F.substring_index(text, "\r\n\r\n", 1)
-    first = F.substring_index(head, "\r\n", 1)
-    request = first.rlike(rf"^({'|'.join(METHODS)}) \S+ HTTP/\d")
-    response = first.rlike(r"^HTTP/[12](\.\d)? \d{3}")
-
-    def header(name: str) -> Column:
-        # greedy: the last line of that name
-        return F.regexp_extract(head, rf"(?is)^.*\r\n{name}:[ \t]*([^\r\n]*)", 1)
-
-    word = F.split(first, " ")
-    length = header("content-length").try_cast("int")
-    made = F.struct(
-        request.alias("request"),
-        F.when(request, F.get(word, F.lit(0))).otherwise("").alias("method"),
-        F.when(request, F.get(word, F.lit(1))).otherwise("").alias("uri"),
-        F.when(request, F.get(word, F.lit(2))).otherwise(F.get(word, F.lit(0))).alias("version"),
-        F.when(response, F.get(word, F.lit(1)).try_cast("int")).otherwise(0).alias("status_code"),
-        header("host").alias("host"),
-        header("user-agent").alias("user_agent"),
-        header("content-type").alias("content_type"),
-        header("server").alias("server"),
-        header("(?:set-)?cookie").alias("cookie"),
-        F.coalesce(length, F.lit(-1)).alias("content_length"),
-    )
-    return F.when(request | response, made)
+    """Start line, headers and size of the body of a request or response in one segment, else NULL.
+
+    A later header of one name wins.  A head that does not end in the segment is read as far as it goes.
+    """
+    ends = lambda t: F.when(F.instr(t, "\r\n\r\n") > 0, "\r\n\r\n").when(F.instr(t, "\n\n") > 0, "\n\n").otherwise("")
+    cut = lambda t, end: F.when(end == "\r\n\r\n", F.substring_index(t, "\r\n\r\n", 1)).when(end == "\n\n", F.substring_index(t, "\n\n", 1)).otherwise(t)
+
+    def headed(t: Column) -> Column:
+        return let(ends(t), lambda end: let(cut(t, end), lambda head: made(F.split(head, "\r?\n"), F.when(end != "", F.length(t) - F.length(head) - F.length(end)).otherwise(0))))
+
+    def made(lines: Column, body_size: Column) -> Column:
+        pair = lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"), F.btrim(F.substring(x, F.instr(x, ":") + 1, F.length(x)), F.lit(" \t\r")).alias("value"))
+        pairs = lambda ls: F.transform(F.filter(F.slice(ls, 2, F.greatest(F.size(ls), F.lit(1))), lambda x: F.instr(x, ":") > 0), pair)
+        return let(lines, lambda ls: let(F.split(F.get(ls, F.lit(0)), " "), lambda word: let(pairs(ls), lambda ps: read(word, ps, body_size))))
+
+    def read(word: Column, pairs: Column, body_size: Column) -> Column:
+        nth = lambda k: F.get(word, F.lit(k))
+        response = nth(0).startswith("HTTP/") & F.coalesce(nth(1).rlike(r"^\d+$"), F.lit(False))
+        request = nth(0).isin(*METHODS) & (F.size(word) >= 2)
+
+        def header(*names: str) -> Column:
+            return F.coalesce(F.try_element_at(F.filter(pairs, lambda p: F.lower(p["name"]).isin(*names)), F.lit(-1))["value"], F.lit(""))
+
+        fields = F.struct(
+            request.alias("request"),
+            F.when(request, nth(0)).otherwise("").alias("method"),
+            F.when(request, nth(1)).otherwise("").alias("uri"),
+            F.when(request, F.coalesce(nth(2), F.lit("HTTP/1.0"))).otherwise(nth(0)).alias("version"),
+            F.when(response, nth(1).try_cast("int")).otherwise(0).alias("status_code"),
+            F.when(response, F.array_join(F.slice(word, 3, F.greatest(F.size(word), F.lit(1))), " ")).otherwise("").alias("reason"),
+            header("host").alias("host"),
+            header("user-agent").alias("user_agent"),
+            header("content-type").alias("content_type"),
+            header("server").alias("server"),
+            header("cookie", "set-cookie").alias("cookie"),
+            header("referer").alias("referer"),
+            F.coalesce(header("content-length").try_cast("int"), F.lit(-1)).alias("content_length"),
+            pairs.alias("headers"),
+            body_size.cast("int").alias("body_size"),
+        )
+        return F.when(request | response, fields)
+
+    return F.when(F.octet_length(payload) >= 8, let(latin(payload), headed))
+
+
+def http_header(http: Column, name: str) -> Column:
+    """Value of the first header of a name in any letter case, NULL without one."""
+    return F.get(F.filter(http["headers"], lambda h: F.lower(h["name"]) == name.lower()), F.lit(0))["value"]
+
+
+def _ntp_first(payload: Column) -> tuple[Column, Column]:
+    first = small(payload, 0)
+    return F.shiftright(first, 3).bitwiseAND(F.lit(7)), first.bitwiseAND(F.lit(7))
+
+
+def is_ntp(payload: Column) -> Column:
+    version, mode = _ntp_first(payload)
+    return F.coalesce((F.octet_length(payload) >= 48) & version.between(1, 4) & mode.between(1, 7), F.lit(False))
 
 
 def ntp(payload: Column) -> Column:
-    first = small(payload, 0)
-    version, mode = F.shiftright(first, 3).bitwiseAND(F.lit(7)), first.bitwiseAND(F.lit(7))
-    fits = (F.octet_length(payload) >= 48) & version.between(1, 4) & mode.between(1, 7)
-    return F.when(fits, F.struct(version.alias("version"), mode.alias("mode"), small(payload, 1).alias("stratum")))
-
-
-def _name(data: bytes, at: int) -> tuple[str, int]:
-    """A domain name and where it ends; pointers may only go back, so the walk ends."""
-    labels, end, bound = [], None, at
-    while True:
-        size = data[at]
-        if size >= 0xC0:
-            target = (size & 0x3F) << 8 | data[at + 1]
-            end = at + 2 if end is None else end
-            if target >= bound:
-                raise ValueError("pointer does not go back")
-            at = bound = target
-        elif size:
-            labels.append(data[at + 1 : at + 1 + size].decode("latin-1"))
-            at += 1 + size
-        else:
-            return ".".join(labels) or "<root>", at + 1 if end is None else end
-
-
-def _rdata(data: bytes, kind: int, at: int, size: int) -> tuple[str, str | None]:
-    """Text of a record's data, and its address key if it is one."""
-    raw = data[at : at + size]
-    if kind in (1, 28) and size in (4, 16):
-        ip = ipaddress.ip_address(raw)
-        return str(ip), f"0{ip.version}{raw.hex()}"
-    if kind in (2, 5, 12, 39):
-        return _name(data, at)[0], None
-    if kind == 15:
-        return f"{struct.unpack('>H', raw[:2])[0]} {_name(data, at + 2)[0]}", None
-    if kind == 16:
-        return raw[1 : 1 + raw[0]].decode("latin-1") if raw else "", None
-    return raw[:32].hex(), None
-
-
-def _struct(**fields: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
-
-
-_INT, _TEXT = T.IntegerType(), T.StringType()
-_QUESTION = _struct(name=_TEXT, type=_INT, type_name=_TEXT)
-_ANSWER = _struct(name=_TEXT, type=_INT, ttl=T.LongType(), data=_TEXT, key=_TEXT)
-_DNS = _struct(id=_INT, is_query=T.BooleanType(), rcode=_INT, questions=T.ArrayType(_QUESTION), answers=T.ArrayType(_ANSWER), valid=T.BooleanType())
-
-
-def _dns_message(data: bytes | None) -> dict | None:
-    if data is None or len(data) < 12:
-        return None
-    data = bytes(data)
-    number, flags, questions, answers = struct.unpack(">4H", data[:8])
-    if questions > 64 or answers > 512:
-        return None
-    out = {"id": number, "is_query": not flags >> 15, "rcode": flags & 15, "questions": [], "answers": [], "valid": True}
-    try:
-        at = 12
-        for _ in range(questions):
-            name, at = _name(data, at)
-            kind = struct.unpack(">H", data[at : at + 2])[0]
-            out["questions"].append({"name": name, "type": kind, "type_name": DNS_TYPES.get(kind, f"TYPE{kind}")})
-            at += 4
-        for _ in range(answers):
-            name, at = _name(data, at)
-            kind, _, ttl, size = struct.unpack(">HHIH", data[at : at + 10])
-            text, key = _rdata(data, kind, at + 10, size)
-            out["answers"].append({"name": name, "type": kind, "ttl": ttl, "data": text, "key": key})
-            at += 10 + size
-    except (IndexError, ValueError, struct.error):
-        out["valid"] = False
-    return out
-
-
-@F.udf(_DNS, useArrow=True)
-def dns(payload: bytes) -> dict | None:
-    """Header, questions and answers; a message that breaks off keeps what was read."""
-    return _dns_message(payload)
-
-
-_RECORD = _struct(content_type=_INT, version=_INT, length=_INT)
-_TLS = _struct(version=_INT, handshake_type=_INT, sni=_TEXT, records=T.ArrayType(_RECORD), cipher_suites=T.ArrayType(_TEXT))
-
-
-def _hello(body: bytes) -> tuple[str, list[str]]:
-    """Server name and cipher suites of a ClientHello's body."""
-    at = 34
-    at += 1 + body[at]
-    size = struct.unpack(">H", body[at : at + 2])[0]
-    suites = [f"0x{body[k : k + 2].hex()}" for k in range(at + 2, at + 2 + size, 2)]
-    at += 2 + size
-    at += 1 + body[at] + 2
-    while at + 4 <= len(body):
-        kind, length = struct.unpack(">HH", body[at : at + 4])
-        if kind == 0 and length > 5:
-            return body[at + 9 : at + 4 + length].decode("latin-1"), suites
-        at += 4 + length
-    return "", suites
-
-
-@F.udf(_TLS, useArrow=True)
-def tls(payload: bytes) -> dict | None:
-    """Up to eight records, and the hello in the first of them."""
-    if payload is None:
-        return None
-    data = bytes(payload)
-    out = {"version": 0, "handshake_type": 0, "sni": "", "records": [], "cipher_suites": []}
-    at = 0
-    while at + 5 <= len(data) and len(out["records"]) < 8:
-        kind, version, length = data[at], *struct.unpack(">HH", data[at + 1 : at + 5])
-        if not 20 <= kind <= 24 or version >> 8 != 3 or length > 18432:
-            break
-        out["records"].append({"content_type": kind, "version": version, "length": length})
-        if kind == 22 and not out["handshake_type"] and at + 9 <= len(data):
-            out["handshake_type"] = data[at + 5]
-            out["version"] = struct.unpack(">H", data[at + 9 : at + 11].ljust(2, b"\0"))[0]
-            try:
-                if out["handshake_type"] == 1:
-                    out["sni"], out["cipher_suites"] = _hello(data[at + 9 : at + 5 + length])
-            except (IndexError, struct.error):
-                pass
-        at += 5 + length
-    if out["records"] and not out["version"]:
-        out["version"] = out["records"][0]["version"]
-    return out if out["records"] else None
-
-
-@F.pandas_udf(_struct(message_type=_INT, client_mac=_TEXT, hostname=_TEXT, requested_ip=_TEXT))
-def dhcp(payloads: pd.Series) -> pd.DataFrame:
-    """Client address and options 12, 50 and 53 of BOOTP messages with the DHCP cookie."""
-
-    def one(data) -> tuple:
-        if data is None or len(data) < 240 or bytes(data[236:240]) != b"\x63\x82\x53\x63":
-            return None, None, None, None
-        data, options, at = bytes(data), {}, 240
-        while at + 1 < len(data) and data[at] != 255:
-            if data[at] == 0:
-                at += 1
-                continue
-            options[data[at]] = data[at + 2 : at + 2 + data[at + 1]]
-            at += 2 + data[at + 1]
-        return (options.get(53) or b"\0")[0], data[28:34].hex(":"), options.get(12, b"").decode("latin-1"), ".".join(map(str, options.get(50, b"")))
-
-    return pd.DataFrame([one(p) for p in payloads], columns=["message_type", "client_mac", "hostname", "requested_ip"])
+    version, mode = _ntp_first(payload)
+    return F.struct(version.alias("version"), mode.alias("mode"), small(payload, 1).alias("stratum"))
+
+
+_OPTION = T.StructType([T.StructField(n, T.IntegerType()) for n in ("code", "at", "size")])
+
+
+@read_once
+@F.arrow_udf(T.ArrayType(_OPTION))
+def dhcp(payloads: pa.Array) -> pa.Array:
+    """Where the options of BOOTP messages with the DHCP cookie lie; NULL for any other payload."""
+    source = Bytes(payloads)
+    n = len(source)
+    given = (source.size >= 240) & (source.uint(236, 4) == int.from_bytes(_COOKIE, "big"))
+    row, *columns = options(source, np.full(n, 240), source.size, np.flatnonzero(given), 0, (0,), 255)
+    listing = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in columns], [f.name for f in _OPTION])
+    found = listed(row, n, listing)
+    return pa.ListArray.from_arrays(found.offsets, found.values, mask=pa.array(~given))
+
+
+def dhcp_fields(payload: Column, found: Column) -> Column:
+    """Fixed fields and options 12, 50, 51, 53, 54 and 60; ``options`` are those as texts, in order."""
+
+    def last(code: int, value, size: int | None = None) -> Column:
+        fits = F.filter(found, lambda o: (o["code"] == code) & ((o["size"] == size) if size else (o["size"] > 0)))
+        return F.try_element_at(F.transform(fits, value), F.lit(-1))
+
+    ip = lambda at: F.concat_ws(".", *[small(payload, at + k).cast("string") for k in range(4)])
+    letters = lambda o: latin(part(payload, o["at"], o["size"]))
+    from tidewire.functions.lookups import DHCP_MESSAGES, named
+
+    def line(o: Column) -> Column:
+        four = o["size"] == 4
+        return (
+            F.when((o["code"] == 53) & (o["size"] > 0), F.concat(F.lit("Message-Type: "), named(small(payload, o["at"]), DHCP_MESSAGES, "UNKNOWN")))
+            .when((o["code"] == 50) & four, F.concat(F.lit("Requested-IP: "), ip(o["at"])))
+            .when((o["code"] == 54) & four, F.concat(F.lit("Server-ID: "), ip(o["at"])))
+            .when(o["code"] == 12, F.concat(F.lit("Hostname: "), letters(o)))
+            .when(o["code"] == 60, F.concat(F.lit("Vendor-Class: "), letters(o)))
+            .when((o["code"] == 51) & four, F.concat(F.lit("Lease-Time: "), uint(payload, o["at"], 4).cast("string"), F.lit("s")))
+        )
+
+    kinds = F.transform(F.filter(found, lambda o: (o["code"] == 53) & (o["size"] > 0)), lambda o: small(payload, o["at"]))
+    made = F.struct(
+        small(payload, 0).alias("opcode"),
+        uint(payload, 4, 4).alias("transaction_id"),
+        F.get(kinds, F.lit(0)).alias("message_type"),
+        F.when(small(payload, 2).between(1, 6), mac(payload, 28)).otherwise("00:00:00:00:00:00").alias("client_mac"),
+        ip(F.lit(12)).alias("client_ip"),
+        ip(F.lit(16)).alias("your_ip"),
+        ip(F.lit(20)).alias("server_ip"),
+        ip(F.lit(24)).alias("relay_ip"),
+        F.coalesce(last(12, letters), F.lit("")).alias("hostname"),
+        F.coalesce(last(50, lambda o: ip(o["at"]), 4), F.lit("")).alias("requested_ip"),
+        last(51, lambda o: uint(payload, o["at"], 4), 4).alias("lease_seconds"),
+        F.coalesce(last(54, lambda o: ip(o["at"]), 4), F.lit("")).alias("server_id"),
+        F.coalesce(last(60, letters), F.lit("")).alias("vendor_class"),
+        F.filter(F.transform(found, line), lambda x: x.isNotNull()).alias("options"),
+    )
+    return F.when(found.isNotNull(), made)

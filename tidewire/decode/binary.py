@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -9,6 +11,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def built_once(build: Callable[[], dict[str, Column]]) -> Callable[[], dict[str, Column]]:
+    """Columns by name, put together once for each JVM and not for each query."""
+    made: dict[int, dict[str, Column]] = {}
+
+    def get() -> dict[str, Column]:
+        from pyspark import SparkContext
+
+        key = id(SparkContext._gateway)
+        if key not in made:
+            made[key] = build()
+        return made[key]
+
+    return get
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _at(offset: int | Column) -> Column:
     return (F.lit(offset) if isinstance(offset, int) else offset).cast("int")
 
@@ -46,11 +68,14 @@ def address(data: Column, offset: int | Column, version: int) -> Column:
     return F.when(F.octet_length(piece) == size, F.struct(text.alias("text"), key.alias("key")))
 
 
-@F.pandas_udf(T.StringType())
-def ipv6_text(addresses: pd.Series) -> pd.Series:
-    import ipaddress
-
-    return addresses.map(lambda b: str(ipaddress.IPv6Address(bytes(b))) if b is not None and len(b) == 16 else None)
+def ipv6_text(piece: Column) -> Column:
+    """Sixteen bytes as text: groups without leading zeros, the first longest run of two zero groups or more as ``::``."""
+    groups = F.regexp_replace(F.regexp_replace(F.lower(F.hex(piece)), "(....)(?=.)", "$1:"), "(^|:)0{1,3}(?=[0-9a-f])", "$1")
+    out = groups
+    for n in range(2, 9):
+        zeros = rf"(^|:)0(:0){{{n - 1}}}(:|$)"
+        out = F.when(groups.rlike(zeros), F.regexp_replace(groups, rf"^(.*?){zeros}", "$1::")).otherwise(out)
+    return F.regexp_replace(out, ":::+", "::")
 
 
 @F.pandas_udf(T.LongType())

@@ -22,8 +22,25 @@ VENDORS: tuple[tuple[str, str], ...] = (
     ("b8:27:eb", "Raspberry Pi"), ("dc:a6:32", "Raspberry Pi"), ("00:1a:11", "Google"), ("3c:5a:b4", "Google"), ("00:03:93", "Apple"), ("00:00:0c", "Cisco"),
 )
 
-#: Names of DNS record types, ICMP types and TCP flags in wire order.
-DNS_TYPES = {1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 12: "PTR", 15: "MX", 16: "TXT", 28: "AAAA", 33: "SRV", 39: "DNAME", 41: "OPT", 43: "DS", 46: "RRSIG", 47: "NSEC", 48: "DNSKEY", 65: "HTTPS", 255: "ANY", 257: "CAA"}
+#: Names of DNS record types and reply codes; flows name fewer types.
+DNS_TYPES = {
+    1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 12: "PTR", 15: "MX", 16: "TXT", 28: "AAAA", 33: "SRV", 35: "NAPTR", 39: "DNAME", 41: "OPT", 43: "DS", 46: "RRSIG", 47: "NSEC", 48: "DNSKEY",
+    50: "NSEC3", 52: "TLSA", 64: "SVCB", 65: "HTTPS", 99: "SPF", 255: "ANY", 256: "URI", 257: "CAA",
+}
+DNS_FLOW_TYPES = {k: v for k, v in DNS_TYPES.items() if k not in (39, 41, 47, 50, 52, 64, 257)}
+DNS_RCODES = {
+    0: "No error", 1: "Format error", 2: "Server failure", 3: "Non-existent domain (NXDOMAIN)", 4: "Not implemented", 5: "Query refused", 6: "Name exists when it should not",
+    7: "RR set exists when it should not", 8: "RR set that should exist does not", 9: "Server not authoritative for zone", 10: "Name not contained in zone",
+}
+#: Names of ether types, IP protocols, options, operations and modes.
+ETHER_TYPES = {0x0800: "IPv4 (0x0800)", 0x0806: "ARP (0x0806)", 0x86DD: "IPv6 (0x86dd)", 0x8100: "802.1Q VLAN", 0x88A8: "802.1ad QinQ", 0x88CC: "LLDP", 0x8864: "PPPoE", 0x0842: "Wake-on-LAN"}
+IP_PROTOCOLS = {1: "ICMP", 2: "IGMP", 6: "TCP", 17: "UDP", 41: "IPv6 encapsulation", 47: "GRE", 50: "ESP", 51: "AH", 58: "ICMPv6", 89: "OSPF", 103: "PIM", 132: "SCTP"}
+IP_OPTIONS = {0: "End of options", 1: "NOP", 2: "Security", 3: "Loose source route", 4: "Timestamp", 6: "Strict source route", 7: "Record route"}
+TCP_OPTIONS = {0: "End of options", 1: "NOP", 2: "MSS", 3: "Window scale", 4: "SACK permitted", 5: "SACK", 8: "Timestamps", 19: "TCP MD5 signature", 29: "TCP-AO", 34: "TFO (fast open)"}
+ARP_OPERATIONS = {1: "request", 2: "reply", 3: "request reverse", 4: "reply reverse", 8: "gratuitous"}
+DHCP_MESSAGES = {1: "DISCOVER", 2: "OFFER", 3: "REQUEST", 4: "DECLINE", 5: "ACK", 6: "NAK", 7: "RELEASE", 8: "INFORM"}
+NTP_MODES = {1: "symmetric active", 2: "symmetric passive", 3: "client", 4: "server", 5: "broadcast", 6: "control message", 7: "private"}
+#: ICMP types and codes, TCP flags in wire order.
 ICMP_TYPES = {0: "Echo reply (ping)", 8: "Echo request (ping)", 3: "Destination unreachable", 5: "Redirect", 11: "Time exceeded (fragment reassembly)", 12: "Parameter problem"}
 ICMP_CODES = {(3, 0): "Destination network unreachable", (3, 1): "Destination host unreachable", (3, 3): "Destination port unreachable", (3, 4): "Fragmentation needed and DF set", (11, 0): "Time exceeded (TTL)"}
 ICMP6_TYPES = {128: "ICMPv6 echo request", 129: "ICMPv6 echo reply"}
@@ -39,6 +56,15 @@ def vendor_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(VENDORS, "prefix string, vendor string")
 
 
+def named(code: Column, names: dict[int, str], other: str | None) -> Column:
+    """The name of a code by one look-up; else ``other``, with the code where it has a place for it."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    found = F.try_element_at(table, code.cast("int"))
+    if other is None:
+        return found
+    return F.when(code.isNotNull(), F.coalesce(found, F.format_string(other, code) if "%" in other else F.lit(other)))
+
+
 def name_of(code: Column, names: dict[int, str], other: str) -> Column:
     """The name of a code, or ``other`` with the code in it."""
     out = F.format_string(other, code)

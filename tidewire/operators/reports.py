@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.decode import info
 from tidewire.functions import packet as P
 from tidewire.functions.ip import ipv4_key
-from tidewire.functions.lookups import service_name, vendor_name
+from tidewire.functions.lookups import icmp_name, service_name, vendor_name
 from tidewire.functions.names import filled, port_line, port_state_rank, service_text
 from tidewire.functions.text import human_bytes, truncate
 from tidewire.operators import flows as W
@@ -21,44 +22,41 @@ from tidewire.sinks.exports import clean, flow_rows, packet_rows
 ARROW = " → "
 
 
-def _given(df: DataFrame, name: str, default: Column) -> Column:
-    """A column that decoded packets have and others may lack."""
-    return F.coalesce(F.col(name), default) if name in df.columns else default
-
-
 def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
 def _application_info(packets: DataFrame) -> Column:
-    """HTTP request or status line, DNS question or reply, TLS greeting; NULL for any other packet."""
+    """What a flow shows of a packet's application: HTTP start line, DNS question or reply, else its summary; NULL without one."""
     method = F.coalesce(F.col("http_method"), F.lit(""))
-    status = F.rtrim(_text("HTTP/1.1 ", F.col("http_status"), " ", _given(packets, "http_reason", F.lit(""))))
+    status = _text("HTTP/1.1 ", F.col("http_status"), " ", F.col("http_reason"))
     http = F.when(method != "", _text(method, " ", F.coalesce(F.col("http_uri"), F.lit("")))).when(F.col("http_status") > 0, status)
-    kind, code = _given(packets, "dns_type", F.lit("A")), _given(packets, "dns_rcode", F.lit("NOERROR"))
-    reply = F.col("src_port") == 53
-    dns = F.when(F.col("dns_qname").isNotNull(), F.when(reply, _text("response ", F.col("dns_qname"), " (", code, ")")).otherwise(_text(kind, "? ", F.col("dns_qname"))))
-    version = F.regexp_replace("protocol", "^TLSv?", "TLS ")
-    tls = F.when(F.col("protocol").startswith("TLS"), F.when(F.col("tls_sni") != "", _text(version, " Client Hello (SNI=", F.col("tls_sni"), ")")).otherwise(version))
-    return F.coalesce(http, dns, tls)
+    reply = _text("response ", F.col("dns_qname"), " (", F.col("dns_rcode"), ")")
+    dns = F.when(F.col("dns_response"), reply).otherwise(_text(F.col("dns_type"), "? ", F.col("dns_qname")))
+    return F.coalesce(http, dns, F.col("summary"))
 
 
 def packet_info(packets: DataFrame) -> Column:
-    """What a packet says in one line: its application, else ARP, ICMP, TCP or UDP."""
-    arp = F.when(_given(packets, "arp_opcode", F.lit(1)) == 2, _text(F.col("arp_sender_ip"), " is at ", F.col("src_mac"))).otherwise(_text("Who has ", F.col("arp_target_ip"), "? Tell ", F.col("arp_sender_ip")))
+    """What a packet says in one line: that of its frame where it was decoded, else by its columns.
+
+    Columns that are NULL say nothing; no value stands in for them.
+    """
+    if "info" in packets.columns:
+        return F.col("info")
+    arp = info.arp(F.col("arp_opcode"), F.col("arp_sender_ip"), F.col("arp_target_ip"), F.col("src_mac"))
     ends = _text(F.col("src_port"), ARROW, F.col("dst_port"))
-    tcp = _text(ends, " [", P.flags_text(), "] Seq=", F.col("seq"), " Ack=", _given(packets, "ack", F.lit(0)), " Win=", F.col("tcp_window"), " Len=", F.col("payload_len"), F.when(F.col("l4_checksum_ok"), "").otherwise(" [checksum invalid]"))
-    out = F.when(F.col("kind") == "arp", arp).when(F.col("proto") == "icmp", _text(_given(packets, "icmp_text", F.lit("ICMP")), " len=", F.col("payload_len")))
-    out = out.when(_application_info(packets).isNotNull(), _application_info(packets)).when(F.col("proto") == "tcp", tcp).when(F.col("proto") == "udp", _text(ends, " Len=", F.col("payload_len")))
-    broken = _given(packets, "malformed", F.lit(False))
-    reason = _text("[Malformed packet: ", _given(packets, "malformed_reason", F.lit("")), "]")
-    return F.concat(F.when(broken, reason).otherwise(F.coalesce(out, F.lit(""))), F.when(F.coalesce(F.col("truncated"), F.lit(False)), " [truncated]").otherwise(""))
+    tcp = _text(ends, " [", P.flags_text(), "] Seq=", F.col("seq"), " Ack=", F.col("ack"), " Win=", F.col("tcp_window"), " Len=", F.col("payload_len"), F.when(F.col("l4_checksum_ok"), "").otherwise(" [checksum invalid]"))
+    icmp = _text(icmp_name(F.col("icmp_type"), F.col("icmp_code"), F.col("ip_version") == 6), " len=", F.col("payload_len"))
+    out = F.when(F.col("kind") == "arp", arp).when(F.col("proto") == "icmp", icmp).when(F.col("summary").isNotNull(), F.col("summary"))
+    out = out.when(F.col("proto") == "tcp", tcp).when(F.col("proto") == "udp", _text(ends, " Len=", F.col("payload_len")))
+    return F.concat(F.coalesce(out, F.lit("")), F.when(F.coalesce(F.col("truncated"), F.lit(False)), " [truncated]").otherwise(""))
 
 
 def packet_lines(packets: DataFrame, width: int = 0) -> DataFrame:
     """number and a line of number, time of day, both ends, protocol (``BAD`` if malformed), length and info."""
     ends = [filled(truncate(P.source_text(f"{s}_ip", f"{s}_port", f"{s}_mac"), 22), 24) for s in ("src", "dst")]
-    name = F.when(_given(packets, "malformed", F.lit(False)), "BAD").when(F.coalesce(F.col("protocol"), F.lit("")) == "", "-").otherwise(F.col("protocol"))
+    bad = F.col("malformed") if "malformed" in packets.columns else F.lit(False)
+    name = F.when(bad, "BAD").when(F.coalesce(F.col("protocol"), F.lit("")) == "", "-").otherwise(F.col("protocol"))
     used = 7 + 17 + 24 + 24 + 8 + 7
     info = packet_info(packets)
     info = info if width <= 0 else truncate(info, width - used if width > used else 20)

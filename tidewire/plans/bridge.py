@@ -39,10 +39,15 @@ _LAYERS: list[list[tuple[str, str]]] = [
         ("client_port", "cast(case when kind in ('icmp', 'arp') then 0 when e % 3 = 0 then 50000 + e % 4000 else 40000 + u % 8 end as int)"),
         ("server_port", "cast(case kind when 'http' then case when srv = 3 then 8080 else 80 end when 'tls' then 443 when 'dns' then 53 when 'tcp' then case srv when 0 then 22 when 1 then 25 when 2 then 3306 else 9999 end else 0 end as int)"),
         ("flag_at", "e % 11"),
-        ("payload_len", "cast(case when kind in ('icmp', 'arp') then 0 else size end as int)"),
+        ("payload_len", "cast(case when kind = 'arp' then 0 when kind = 'icmp' then 8 else size end as int)"),
         ("vlan_id", "cast(case when e % 29 = 0 then 100 + e % 3 end as int)"),
         ("u", "u"),
         ("srv", "srv"),
+        ("e10", "e % 10"),
+        ("dns_code", "case when back and e % 10 = 7 then 3 when back and e % 10 = 9 then 2 else 0 end"),
+        ("qname", "'host' || (u % 50) || '.example.com'"),
+        ("asked", "u % 8"),
+        ("unreachable", "kind = 'icmp' and not v6 and e % 13 = 0"),
     ],
     [
         ("number", "number"),
@@ -62,6 +67,15 @@ _LAYERS: list[list[tuple[str, str]]] = [
         ("back", "back"),
         ("tcp_flags", "cast(case when proto <> 'tcp' then 0 when flag_at in (0, 9) then 2 when flag_at = 1 then 18 when flag_at in (2, 7, 10) then 16 when flag_at in (3, 8) then 24 when flag_at = 4 then 17 when flag_at = 5 then 4 else 0 end as int)"),
         ("seq", "case when proto = 'tcp' then (e * 37) % 5000 else 0 end"),
+        ("ack", "case when proto = 'tcp' then (e * 37) % 5000 + 1 else 0 end"),
+        ("arp_opcode", "cast(case when kind = 'arp' then case when back then 2 else 1 end end as int)"),
+        ("icmp_type", "cast(case when kind = 'icmp' then case when unreachable then 3 when v6 then case when back then 129 else 128 end when back then 0 else 8 end end as int)"),
+        ("icmp_code", "cast(case when kind = 'icmp' then case when unreachable then e % 3 else 0 end end as int)"),
+        ("dns_response", "case when kind = 'dns' then back end"),
+        ("dns_record", "case when kind = 'dns' then case asked when 0 then 'A' when 1 then 'AAAA' when 2 then 'MX' when 3 then 'TXT' when 4 then 'CNAME' when 5 then 'SOA' when 6 then 'SRV' else 'CAA' end end"),
+        ("dns_rcode", "case when kind = 'dns' then case dns_code when 3 then 'Non-existent domain (NXDOMAIN)' when 2 then 'Server failure' else 'No error' end end"),
+        ("dns_answer", "case when kind = 'dns' and back and dns_code = 0 then case asked when 0 then '93.184.' || (u % 256) || '.' || (e % 256) when 1 then '2001:db8:53::' || printf('%x', u + 1) when 2 then '10 mail' || (u % 7) || '.' || qname when 3 then 'v=' || u || ' k' || e10 when 4 then 'alias' || (u % 9) || '.' || qname when 5 then 'ns.' || qname || ' admin.' || qname || ' ' || e || ' 3600 600 86400 300' when 6 then '1 2 ' || (8000 + u % 100) || ' srv.' || qname else 'issue \"ca' || (u % 5) || '.example\"' end end"),
+        ("http_reason", "case when kind = 'http' and back then case when e % 10 = 3 then 'Not Found' else 'OK' end end"),
         ("payload_len", "payload_len"),
         ("frame_len", "cast(case when kind = 'arp' then 42 else 14 + case when v6 then 40 else 20 end + case proto when 'tcp' then 20 else 8 end + payload_len end + case when vlan_id is null then 0 else 4 end as int)"),
         ("vlan_id", "vlan_id"),
@@ -70,7 +84,7 @@ _LAYERS: list[list[tuple[str, str]]] = [
         ("ip_checksum_ok", "v6 or e % 31 <> 0"),
         ("l4_checksum_ok", "kind in ('icmp', 'arp') or e % 37 <> 0"),
         ("truncated", "e % 41 = 0"),
-        ("dns_qname", "case when kind = 'dns' then 'host' || (u % 50) || '.example.com' end"),
+        ("dns_qname", "case when kind = 'dns' then qname end"),
         ("http_method", "case when kind = 'http' and not back then case when e % 6 = 0 then 'POST' else 'GET' end end"),
         ("http_host", "case when kind = 'http' then case when back then '' else 'www' || srv || '.example.org' end end"),
         ("http_uri", "case when kind = 'http' then case when back then '' else '/item/' || (u % 20) || '?q=a%20b+' || (e % 7) end end"),
@@ -91,7 +105,11 @@ _LAYERS: list[list[tuple[str, str]]] = [
         ("dst_mac", "case when kind = 'arp' then 'ff:ff:ff:ff:ff:ff' when back then client_mac else server_mac end"),
         ("src_port", "case when back then server_port else client_port end"),
         ("dst_port", "case when back then client_port else server_port end"),
-        *[(c, c) for c in ("tcp_flags", "seq", "payload_len", "frame_len", "vlan_id", "ttl", "tcp_window", "ip_checksum_ok", "l4_checksum_ok", "truncated", "dns_qname", "http_method", "http_host", "http_uri", "http_status", "tls_sni")],
+        ("dns_type", "case when dns_record = 'CAA' then 'TYPE257' else dns_record end"),
+        ("summary", """case kind when 'dns' then 'Standard query' || case when not dns_response then '' else ' response' || case when dns_rcode = 'No error' then '' else ' ' || dns_rcode end end || ' ' || dns_record || ' ' || coalesce(dns_answer, dns_qname)
+          when 'http' then case when back then 'HTTP/1.1 ' || http_status || ' ' || http_reason || ' (2 bytes)' else http_method || ' ' || http_uri || ' (Host: ' || http_host || ')' end
+          when 'tls' then case when back then 'TLS 1.2 Application Data (TLS 1.2)' else 'TLS 1.2 Client Hello (SNI=' || tls_sni || ')' end end"""),
+        *[(c, c) for c in ("dns_record", "ack", "arp_opcode", "icmp_type", "icmp_code", "dns_response", "dns_rcode", "dns_answer", "http_reason", "tcp_flags", "seq", "payload_len", "frame_len", "vlan_id", "ttl", "tcp_window", "ip_checksum_ok", "l4_checksum_ok", "truncated", "dns_qname", "http_method", "http_host", "http_uri", "http_status", "tls_sni")],
     ],
 ]
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.decode.frames import decode
 from tidewire.filters.fields import logical as field
 from tidewire.functions import names as N
 from tidewire.functions.lookups import SERVICES
@@ -14,6 +15,7 @@ from tidewire.operators import flows as W
 from tidewire.operators import reports, scans, stats, store
 from tidewire.plans.bridge import PACKETS_CTE, packets
 from tidewire.plans.catalog import _FLOWS, _MARKED, _probes, _PROBES
+from tidewire.plans.frames import frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,16 +39,30 @@ def _cut(text: str, width: int) -> str:
 # ---- info and lines ---------------------------------------------------------------------------
 
 _FLAGS = "case tcp_flags when 0 then 'none' when 2 then 'SYN' when 18 then 'SYN,ACK' when 16 then 'ACK' when 24 then 'PSH,ACK' when 17 then 'FIN,ACK' when 4 then 'RST' end"
-_APPLICATION = """case when coalesce(http_method, '') <> '' then http_method || ' ' || http_uri when http_status > 0 then 'HTTP/1.1 ' || http_status
-  when kind = 'dns' and src_port = 53 then 'response ' || dns_qname || ' (NOERROR)' when kind = 'dns' then 'A? ' || dns_qname
-  when kind = 'tls' and tls_sni <> '' then 'TLS 1.2 Client Hello (SNI=' || tls_sni || ')' when kind = 'tls' then 'TLS 1.2' end"""
-_INFO = f"""(case when kind = 'arp' then 'Who has ' || arp_target_ip || '? Tell ' || arp_sender_ip when proto = 'icmp' then 'ICMP len=' || payload_len
-  when kind in ('http', 'dns', 'tls') and ({_APPLICATION}) is not null then {_APPLICATION}
-  when proto = 'tcp' then src_port || ' → ' || dst_port || ' [' || {_FLAGS} || '] Seq=' || seq || ' Ack=0 Win=' || tcp_window || ' Len=' || payload_len || case when l4_checksum_ok then '' else ' [checksum invalid]' end
+_APPLICATION = """case when coalesce(http_method, '') <> '' then http_method || ' ' || http_uri when http_status > 0 then 'HTTP/1.1 ' || http_status || ' ' || http_reason
+  when dns_response then 'response ' || dns_qname || ' (' || dns_rcode || ')' when kind = 'dns' then dns_type || '? ' || dns_qname else summary end"""
+_ICMP = """case icmp_type when 128 then 'ICMPv6 echo request' when 129 then 'ICMPv6 echo reply' when 8 then 'Echo request (ping)' when 0 then 'Echo reply (ping)'
+  else case icmp_code when 0 then 'Destination network unreachable' when 1 then 'Destination host unreachable' else 'Destination unreachable' end end"""
+
+
+def _info_sql(echo: str = "''", opened: str = "''") -> str:
+    """The line of a packet; frames also carry the numbers of an echo and the segment size of a connection that opens."""
+    return f"""(case when arp_opcode = 1 then 'Who has ' || arp_target_ip || '? Tell ' || arp_sender_ip when arp_opcode = 2 then arp_sender_ip || ' is at ' || src_mac when proto = 'icmp' then {_ICMP} || {echo} || ' len=' || payload_len
+  when summary is not null then summary
+  when proto = 'tcp' then src_port || ' → ' || dst_port || ' [' || {_FLAGS} || '] Seq=' || seq || ' Ack=' || ack || ' Win=' || tcp_window || ' Len=' || payload_len || {opened} || case when l4_checksum_ok then '' else ' [checksum invalid]' end
   else src_port || ' → ' || dst_port || ' Len=' || payload_len end || case when truncated then ' [truncated]' else '' end)"""
+
+
+_INFO = _info_sql()
+_ECHO = "case when icmp_type = 3 then '' else ' id=0x' || lower(printf('%04x', number % 65536)) || ' seq=1' end"
 _add("packet_info", lambda p: p.select("number", reports.packet_info(p).alias("info")), f"select number, {_INFO} as info from packets")
 
 
+# the same from bytes: the decoder's lines against columns that were never bytes
+QUERIES["decode_info"] = lambda spark, sf_dir: decode(frames(spark, sf_dir)).select("number", "protocol", "info")
+ORACLES["decode_info"] = f"{PACKETS_CTE} select number, case when kind = 'tls' then 'TLSv1.2' when kind = 'icmp' and ip_version = 6 then 'ICMPv6' else protocol end as protocol, {_info_sql(_ECHO, "case when tcp_flags = 2 then ' MSS=1460' else '' end")} as info from packets"
+
+
 def _end(side: str) -> str:
     return f"(case when {side}_ip is null then {side}_mac when {side}_port > 0 then {side}_ip || ':' || {side}_port else {side}_ip end)"
 
