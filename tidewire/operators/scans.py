@@ -11,23 +11,6 @@ from tidewire.functions.ip import ipv4_number, ipv4_text, number_key
 from tidewire.functions.lookups import service_name
 from tidewire.functions.names import port_state_rank
 
-#: Banner patterns as (service, product, pattern with the version as group 1, ports or none, confidence).
-SIGNATURES: tuple[tuple[str, str, str, tuple[int, ...], int], ...] = (
-    ("ssh", "OpenSSH", r"^SSH-\d\.\d+-OpenSSH_([\w.]+)", (), 9),
-    ("ssh", "Dropbear", r"^SSH-\d\.\d+-dropbear_?([\w.]*)", (), 9),
-    ("http", "nginx", r"(?i)server: nginx/?([\d.]*)", (), 9),
-    ("http", "Apache httpd", r"(?i)server: apache/?([\d.]*)", (), 9),
-    ("http", "Microsoft IIS", r"(?i)server: microsoft-iis/?([\d.]*)", (), 9),
-    ("http", "", r"^HTTP/(\d\.\d)", (), 5),
-    ("smtp", "Postfix", r"(?i)^220 .*esmtp postfix()", (25, 465, 587), 8),
-    ("ftp", "vsFTPd", r"(?i)^220.*vsftpd ([\d.]+)", (21,), 8),
-    ("mysql", "MySQL", r"(\d+\.\d+\.\d+)[^\x00]*mysql", (3306,), 7),
-    ("redis", "Redis", r"(?i)redis_version:([\d.]+)", (), 8),
-    ("pop3", "", r"^\+OK()", (110, 995), 5),
-    ("imap", "", r"^\* OK()", (143, 993), 5),
-)
-
-
 #: Addresses of a block that a range is cut into.
 BLOCK = 4096
 
@@ -181,21 +164,6 @@ def inventory(ports: DataFrame) -> DataFrame:
     return ports.where("state = 'open'").groupBy("address").agg(text.alias("open_ports"))
 
 
-def match_services(ports: DataFrame) -> DataFrame:
-    """The best signature of each banner: highest confidence, then the earlier; unmatched rows are left out.
-
-    The signatures are columns of one projection, so there is no join and each pattern is
-    compiled once.
-    """
-    fits = []
-    for order, (service, product, pattern, only, confidence) in enumerate(SIGNATURES):
-        hit = F.col("banner").rlike(pattern) & (F.col("port").isin(*only) if only else F.lit(True))
-        row = F.struct(F.lit(confidence).alias("confidence"), F.lit(-order).alias("rank"), F.lit(service).alias("service"), F.lit(product).alias("product"), F.regexp_extract("banner", pattern, 1).alias("version"))
-        fits.append(F.when(hit, row))
-    best = ports.withColumn("_best", F.array_max(F.array_compact(F.array(*fits)))).where("_best is not null")
-    return best.select("scan_id", "address", "proto", "port", "_best.service", "_best.product", "_best.version", "_best.confidence")
-
-
 #: Systems by the TCP window that a packet came with.
 OS_WINDOWS = {8192: "Windows XP/2003", 16384: "Windows Vista/7/2008", 65535: "macOS/BSD or older Windows", 5840: "Linux 2.6+", 14600: "Linux 3.x+/4.x+", 64240: "Linux 5.x+ or Windows 10+", 4128: "Cisco IOS"}
 

@@ -13,7 +13,7 @@ from tidewire.functions import ip as IP
 from tidewire.functions import packet as P
 from tidewire.functions import text as X
 from tidewire.functions.lookups import SERVICES, vendor_name
-from tidewire.operators import flows as W
+from tidewire.operators import flows as W, signatures
 from tidewire.operators import ring, scans, stats, store
 from tidewire.plans.bridge import PACKETS_CTE, packets
 
@@ -193,7 +193,7 @@ _add("scan_finalize", lambda s, d: scans.port_results(_probes(s, d)), " " + _POR
 _add("scan_hosts", lambda s, d: scans.host_results(_probes(s, d)), " " + _HOST_ROWS)
 _add("scan_counts", lambda s, d: scans.counts(scans.port_results(_probes(s, d))), f" select count(distinct address) filter (state = 'open') as hosts_with_open_ports, count_if(state = 'open')::bigint as open, count_if(state = 'closed')::bigint as closed, count_if(state in ('filtered', 'open|filtered'))::bigint as filtered from ({_PORT_ROWS})")
 _add("open_port_histogram", lambda s, d: scans.open_port_histogram(scans.port_results(_probes(s, d))), f" select port, count(distinct address) as hosts from ({_PORT_ROWS}) where state = 'open' group by 1")
-_add("service_match", lambda s, d: scans.match_services(scans.port_results(_probes(s, d)).where("banner <> ''")), f" select scan_id, address, proto, port, 'http' as service, 'nginx' as product, regexp_extract(banner, 'nginx/([0-9.]+)', 1) as version, 9 as confidence from ({_PORT_ROWS}) where banner <> ''")
+_add("service_match", lambda s, d: signatures.match_services(scans.port_results(_probes(s, d)).where("banner <> ''")), f" select scan_id, address, proto, port, 'http' as service, substr(banner, 9) as product, '' as version, '' as extra, 6 as confidence from ({_PORT_ROWS}) where banner <> ''")
 _add("scan_inventory", lambda s, d: scans.inventory(scans.port_results(_probes(s, d))), f" select address, string_agg(port || '/' || proto, ',' order by port, proto) as open_ports from ({_PORT_ROWS}) where state = 'open' group by 1")
 _add("targets_expand", lambda s, d: scans.without(scans.expand_targets(s, "10.0.0.0/24,10.0.1.5-10.0.1.20,192.168.7.1,10.0.0.7", 4096), s, "10.0.0.128/25,192.168.7.1").select("address"), "select '10.0.0.' || i as address from range(0, 128) t(i) union all select '10.0.1.' || i from range(5, 21) t(i)", "")
 _add("probe_plan", lambda s, d: scans.probe_plan(scans.expand_targets(s, "10.0.0.0/28", 4096), scans.expand_ports(s, "22,80,8000-8002")), "select '10.0.0.' || i as address, p as port from range(0, 16) t(i), (values (22), (80), (8000), (8001), (8002)) as ports(p)", "")
@@ -210,3 +210,31 @@ def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = packets(spark, sf_dir)
     return p.groupBy(F.concat(F.lit("c"), (F.col("number") % 9).cast("string")).alias("capture_id")).agg(F.count(F.lit(1)).alias("packets"), F.min("ts_us").alias("first_us"))
 
+
+
+#: A banner for every signature (port, banner) and what it tells (service, product, version, extra, confidence).
+BANNERS: tuple[tuple[int, str, str, str, str, str, int], ...] = (
+    (22, "SSH-2.0-OpenSSH_8.9p1 Ubuntu", "ssh", "OpenSSH", "8.9p1", "", 9), (22, "SSH-2.0-Dropbear_2020.81", "ssh", "Dropbear SSH", "2020.81", "", 9), (22, "SSH-2.0-libssh-0.9", "ssh", "libssh-0.9", "", "SSH banner", 7),
+    (80, "HTTP/1.1 404 Not Found", "http", "", "", "HTTP 1.1 response, status 404", 7), (80, "server: Caddy 2", "http", "Caddy 2", "", "", 6), (554, "RTSP/1.0 200 OK", "rtsp", "", "200", "RTSP status 200", 7), (5060, "SIP/2.0 486 Busy", "sip", "", "486", "SIP status 486", 7),
+    (21, "220 my FTP", "ftp", "", "", "", 7), (21, "220 (vsFTPd 3.0.3)", "ftp", "vsftpd", "3.0.3", "", 9), (21, "220 proftpd 1.3.5e Server", "ftp", "ProFTPD", "1.3.5e", "", 8), (21, "220---- Pure-FTPd ----", "ftp", "Pure-FTPd", "", "", 8), (21, "220-FileZilla Server 0.9.60 beta", "ftp", "FileZilla Server", "0.9.60", "", 8),
+    (25, "220 mx ESMTP ready", "smtp", "", "", "", 7), (25, "220 mx ESMTP exim 4", "smtp", "exim", "", "", 8), (110, "220 mail POP3", "pop3", "", "", "", 7), (110, "+OK Dovecot ready.", "pop3", "Dovecot", "", "", 8), (143, "* OK IMAP4rev1", "imap", "", "", "", 7), (143, "* OK Dovecot", "imap", "Dovecot", "", "", 8), (143, "* OK Cyrus v2", "imap", "", "", "", 8),
+    (119, "220 NNTP here", "nntp", "", "", "", 7), (3306, "mysql native", "mysql", "MySQL", "", "", 8), (3306, "x 10.5.2-MariaDB", "mysql", "MariaDB", "10.5.2", "", 9), (5432, "postgresql 14.2 on", "postgresql", "PostgreSQL", "14.2", "", 9), (6379, "-ERR unknown command", "redis", "Redis", "", "", 7), (6379, "+PONG", "redis", "Redis", "", "", 9),
+    (11211, "VERSION 1.6.9\r\n", "memcached", "Memcached", "1.6.9", "", 9), (11211, "STAT pid 7\r\n", "memcached", "Memcached", "", "", 7), (5672, "AMQP0", "amqp", "RabbitMQ", "", "AMQP protocol header", 7), (1883, "\x10abMQTT", "mqtt", "MQTT broker", "", "", 7), (9200, '{"cluster_name" : "es1"}', "http", "Elasticsearch", "", "cluster es1", 9),
+    (445, "\xffSMBr", "microsoft-ds", "Samba or Windows SMB", "", "SMB dialect negotiation", 7), (5900, "RFB 003.008", "vnc", "RFB", "003.008", "", 8), (3389, "\x03\x00\x00\x0b", "ms-wbt-server", "Microsoft Terminal Services", "", "RDP negotiation", 7), (23, "\xff\xfd\x18", "telnet", "", "", "telnet option negotiation", 7), (873, "@RSYNCD: 31.0", "rsync", "rsyncd", "31.0", "", 9),
+    (873, "220 RSYNC x", "rsync", "rsyncd", "", "", 7), (27017, "Connected to my MongoDB 4", "mongodb", "MongoDB", "", "my MongoDB", 8), (1, '{"jsonrpc":"2.0"}', "jsonrpc", "", "", "JSON-RPC response", 6), (1, "<HTML>", "http", "", "", "HTML response", 5), (389, "ldap_bind failed", "ldap", "", "", "LDAP response", 6), (137, "NetBIOS name", "netbios-ssn", "", "", "", 6),
+    (1900, "HTTP/1.1 200 OK\r\nA: b\r\nST: upnp:root", "http", "", "", "HTTP 1.1 response, status 200", 7), (1900, "NOTIFY upnp", "", "", "", "", 0), (123, "NTP v4 stratum 2", "ntp", "", "", "", 5), (161, "SNMPv2-MIB", "snmp", "", "", "", 6), (9, "nothing known", "", "", "", "", 0),
+)
+
+
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every packet's number picks a banner, so each signature meets its own."""
+    n = F.lit(len(BANNERS)).cast("long")
+    pick = lambda k: F.get(F.array(*[F.lit(b[k]) for b in BANNERS]), (F.col("number") % n).cast("int"))
+    p = packets(spark, sf_dir).select("number", pick(0).alias("port"), pick(1).alias("banner"))
+    m = p.select("number", signatures.match_banner(F.col("banner"), F.col("port")).alias("m"))
+    return m.where("m is not null").select("number", "m.service", "m.product", "m.version", "m.extra", "m.confidence")
+
+
+_KNOWN = ", ".join(f"({i}, '{s}', '{p}', '{v}', '{e}', {c})" for i, (_, _, s, p, v, e, c) in enumerate(BANNERS) if s)
+QUERIES["service_signatures"] = _told
+ORACLES["service_signatures"] = f"{PACKETS_CTE} select number, service, product, version, extra, confidence from packets join (values {_KNOWN}) t(i, service, product, version, extra, confidence) on number % {len(BANNERS)} = i"
