@@ -299,6 +299,7 @@ def to_logical(packets: DataFrame) -> DataFrame:
         F.coalesce(F.col("tcp.checksum_valid") | (F.col("tcp.checksum") == 0), F.col("udp.checksum_valid"), F.lit(True)).alias("l4_checksum_ok"),
         "truncated",
         "malformed",
+        F.col("reason").alias("malformed_reason"),
         "fragment",
         F.col("icmp.type").alias("icmp_type"),
         F.col("icmp.code").alias("icmp_code"),

@@ -49,6 +49,9 @@ def packet_info(packets: DataFrame) -> Column:
     icmp = _text(icmp_name(F.col("icmp_type"), F.col("icmp_code"), F.col("ip_version") == 6), " len=", F.col("payload_len"))
     out = F.when(F.col("kind") == "arp", arp).when(F.col("proto") == "icmp", icmp).when(F.col("summary").isNotNull(), F.col("summary"))
     out = out.when(F.col("proto") == "tcp", tcp).when(F.col("proto") == "udp", _text(ends, " Len=", F.col("payload_len")))
+    if "malformed" in packets.columns:
+        reason = F.col("malformed_reason") if "malformed_reason" in packets.columns else F.lit(None).cast("string")
+        out = F.when(F.col("malformed"), F.concat(F.lit("[Malformed packet"), F.coalesce(_text(": ", reason), F.lit("")), F.lit("]"))).otherwise(out)
     return F.concat(F.coalesce(out, F.lit("")), F.when(F.coalesce(F.col("truncated"), F.lit(False)), " [truncated]").otherwise(""))
 
 
