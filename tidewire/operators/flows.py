@@ -51,7 +51,8 @@ def _last(value: Column, given: Column | None = None) -> Column:
     return F.max_by(value, F.when(present, F.col("number")))
 
 
-def _state() -> Column:
+def state_of() -> Column:
+    """The state of a flow from its ``_`` columns: what closed it last, else how far its handshake came."""
     closed = F.col("_fins_forward") & F.col("_fins_backward")
     tcp = (
         F.when(F.col("_last_is_reset"), "reset")
@@ -108,7 +109,7 @@ def flows(packets: DataFrame, *more: Column) -> DataFrame:
     )
     # flows with retransmissions have both addresses; the others have none
     counted = grouped.join(again, list(KEY), "left").withColumn("retransmissions", F.coalesce("retransmissions", F.lit(0)))
-    out = counted.withColumn("state", _state()).withColumn("duration_us", F.greatest(F.lit(0), F.col("last_us") - F.col("first_us")))
+    out = counted.withColumn("state", state_of()).withColumn("duration_us", F.greatest(F.lit(0), F.col("last_us") - F.col("first_us")))
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
