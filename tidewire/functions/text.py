@@ -46,6 +46,21 @@ def truncate(text: Column, width: int) -> Column:
     return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 1), F.lit("…"))).otherwise(text)
 
 
+def cut(text: Column, width: int) -> Column:
+    """At most ``width`` characters, the last three of a longer text as dots."""
+    return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 3), F.lit("..."))).otherwise(text)
+
+
+def escaped(text: Column) -> Column:
+    """Backslashes, quotes and control characters as escapes of a string literal."""
+    out = F.regexp_replace(text, r'([\\"])', r"\\$1")
+    for plain, sign in (("\n", "n"), ("\r", "r"), ("\t", "t")):
+        out = F.replace(out, F.lit(plain), F.lit("\\" + sign))
+    for code in (*range(9), 11, 12, *range(14, 32), 127):
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"\\x{code:02x}"))
+    return out
+
+
 def url_path(uri: Column) -> Column:
     return F.substring_index(uri, "?", 1)
 
