@@ -72,6 +72,8 @@ def _headers() -> dict[str, Column]:
         "arp": F.when(
             _h("arp"),
             F.struct(
+                small(data, net, 2).alias("hardware_type"),
+                small(data, net + 2, 2).alias("protocol_type"),
                 small(data, net + 6, 2).alias("opcode"),
                 mac(data, net + 8).alias("sender_mac"),
                 address(data, net + 8 + hw, 4).alias("sender_ip"),
@@ -140,6 +142,7 @@ def _headers() -> dict[str, Column]:
                 _h("icmp_id").alias("id"),
                 _h("icmp_sequence").alias("sequence"),
                 six.alias("ipv6"),
+                _h("checksum_valid").alias("checksum_valid"),
                 icmp_name(_h("icmp_type"), _h("icmp_code"), six).alias("description"),
                 F.when(~six & (_h("icmp_type") == 5), address(data, at + 4, 4)).alias("gateway"),
             ),
