@@ -22,17 +22,41 @@ def append_records(df: DataFrame, kind: str, ts_us: str, path: str) -> None:
     df.select(F.lit(kind).alias("type"), F.col(ts_us).alias("ts"), data.alias("data")).write.mode("append").json(path)
 
 
+#: Where a line lies: its file, the split of it, and its turn within the split.
+PLACE = ("_file", "_split", "_turn")
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value`` of each line of text files and its place.
+
+    A split is read by one task from its first line to its last, so the turn grows along it;
+    sorting by place gives the lines as they stand in the file, files by name.  No pass counts
+    lines, and numbers need not be gapless for that.
+    """
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_turn"))
+
+
+def _edge(rows: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """The first or last so many lines by place, in the order of the file; all without a number (or with 0)."""
+    ordered = [F.asc(c) for c in PLACE]
+    if last:
+        rows = rows.orderBy(*[F.desc(c) for c in PLACE]).limit(last).orderBy(*ordered)
+    elif first:
+        rows = rows.orderBy(*ordered).limit(first)
+    return rows.drop(*PLACE)
+
+
 def records(spark: SparkSession, path: str, kind: str | None = None, last: int | None = None) -> DataFrame:
-    """JSON lines by type and time; lines that do not parse are passed over; ``last`` keeps the newest."""
-    parsed = spark.read.text(path).select(F.from_json("value", "type string, ts long").alias("r"), F.get_json_object("value", "$.data").alias("data"))
-    rows = parsed.where("r.type is not null").select("r.type", "r.ts", "data")
-    rows = rows if kind is None else rows.where(F.col("type") == kind)
-    return rows if last is None else rows.orderBy(F.desc("ts"), F.desc("data")).limit(last)
+    """type, ts and data of JSON lines; lines that do not parse are passed over; ``last`` keeps those that stand last."""
+    parsed = lines(spark, path).select(F.from_json("value", "type string, ts long").alias("r"), F.get_json_object("value", "$.data").alias("data"), F.try_parse_json("value").isNotNull().alias("whole"), *PLACE)
+    rows = parsed.where("whole").select("r.type", "r.ts", "data", *PLACE)
+    return _edge(rows if not kind else rows.where(F.col("type") == kind), last=last)
 
 
 def search_lines(spark: SparkSession, path: str, part: str, limit: int = 100) -> DataFrame:
-    """Lines that contain the text, in either case."""
-    return spark.read.text(path).where(F.contains(F.lower("value"), F.lit(part.lower()))).limit(limit)
+    """``value`` of the first JSON lines that contain the text, in either case; an empty text is in none."""
+    found = lines(spark, path).where(F.contains(F.lower("value"), F.lit(part.lower())) & F.lit(part != ""))
+    return _edge(found.where(F.try_parse_json("value").isNotNull()), first=limit)
 
 
 def recent(df: DataFrame, by: str, limit: int, tie: str) -> DataFrame:
