@@ -5,12 +5,12 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tidewire.plans import catalog, certificates, decode_catalog, reply_catalog, report_catalog, tree_catalog
+from tidewire.plans import catalog, certificates, decode_catalog, reply_catalog, report_catalog, tables_catalog, tree_catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("events", "pages", "documents", "customer", "orders", "lineitem")
-QUERIES = catalog.QUERIES | decode_catalog.QUERIES | report_catalog.QUERIES | certificates.QUERIES | reply_catalog.QUERIES | tree_catalog.QUERIES
-ORACLES = catalog.ORACLES | decode_catalog.ORACLES | report_catalog.ORACLES | certificates.ORACLES | reply_catalog.ORACLES | tree_catalog.ORACLES
+QUERIES = catalog.QUERIES | decode_catalog.QUERIES | report_catalog.QUERIES | certificates.QUERIES | reply_catalog.QUERIES | tree_catalog.QUERIES | tables_catalog.QUERIES
+ORACLES = catalog.ORACLES | decode_catalog.ORACLES | report_catalog.ORACLES | certificates.ORACLES | reply_catalog.ORACLES | tree_catalog.ORACLES | tables_catalog.ORACLES
 CASES = sorted(ORACLES)
 #: Queries whose right answer has no rows.
 EMPTY = {"filter_empty_set"}

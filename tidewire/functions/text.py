@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def human_bytes(n: Column) -> Column:
@@ -91,3 +94,23 @@ def compact_ports(df: DataFrame, keys: list[str], port: str = "port") -> DataFra
     text = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo").cast("string")).otherwise(F.concat(F.col("_lo").cast("string"), F.lit("-"), F.col("_hi").cast("string")))
     listed = F.array_sort(F.collect_list(F.struct(F.col("_lo"), text.alias("text"))))
     return runs.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["text"]), ",").alias("ports"))
+
+
+#: Where the 64-bit hash of Fowler, Noll and Vo starts here, and its prime.
+FNV_START, FNV_PRIME = 1469598103934665603, 1099511628211
+
+
+@F.arrow_udf(T.LongType())
+def fnv1a64(data: pa.Array) -> pa.Array:
+    """The hash of bytes, all rows of a batch byte by byte; as a signed number. NULL of NULL."""
+    from tidewire.decode.batch import Bytes
+
+    source = Bytes(data)
+    out = np.full(len(source), FNV_START, dtype=np.uint64)
+    # the longest rows first, so that those that are still being read are a prefix
+    order = np.argsort(-source.size, kind="stable")
+    sizes, begin = source.size[order], source.begin[order]
+    for k in range(int(sizes.max(initial=0))):
+        live = order[: int(np.searchsorted(-sizes, -k, side="left"))]
+        out[live] = (out[live] ^ source.data[begin[: len(live)] + k].astype(np.uint64)) * np.uint64(FNV_PRIME)
+    return pa.array(out.view(np.int64), mask=~source.given)

@@ -206,7 +206,8 @@ def retransmitted(tcp: DataFrame) -> DataFrame:
 
 
 def run_summary(packets: DataFrame, matched: Column) -> DataFrame:
-    """How many packets and bytes a filter lets through."""
+    """How many packets and bytes a filter lets through; decode errors are NULL where packets do not say whether they broke off."""
+    decode_errors = F.count_if(F.coalesce(F.col("malformed"), F.lit(False))) if "malformed" in packets.columns else F.lit(None).cast("long")
     hit, size = F.coalesce(matched, F.lit(False)), F.col("frame_len").cast("long")
     return packets.agg(
         F.count(F.lit(1)).alias("packets"),
@@ -215,9 +216,19 @@ def run_summary(packets: DataFrame, matched: Column) -> DataFrame:
         F.coalesce(F.sum(size), F.lit(0)).alias("bytes"),
         F.coalesce(F.sum(F.when(hit, size)), F.lit(0)).alias("matched_bytes"),
         F.count_if(F.col("truncated")).alias("truncated"),
+        decode_errors.alias("decode_errors"),
     )
 
 
+def undecoded(frames: DataFrame) -> DataFrame:
+    """Raw frames as packets of which only number, time and size are known, under the protocol ``undecoded``.
+
+    Joined to packets by :func:`merge`, they count in sizes, times and as other packets.
+    """
+    size = F.octet_length("frame").alias("frame_len")
+    return frames.select("number", "ts_us", F.lit("other").alias("kind"), F.lit("other").alias("proto"), F.lit("undecoded").alias("protocol"), F.lit(0).alias("ip_version"), size, (F.col("orig_len") > F.col("cap_len")).alias("truncated"))
+
+
 def merge(*captures: DataFrame) -> DataFrame:
     """Several captures as one, each packet with its capture's number; statistics are then computed anew, losing nothing."""
     numbered = [c.withColumn("capture", F.lit(k)) for k, c in enumerate(captures)]

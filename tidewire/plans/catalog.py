@@ -82,7 +82,7 @@ _over_packets(
     stats.retransmissions,
     "select number, src_ip, src_port, dst_ip, dst_port, seq, payload_len from (select *, max(ending) over (partition by src_ip, src_port, dst_ip, dst_port order by number rows between unbounded preceding and 1 preceding) as before from (select *, case when payload_len > 0 then (seq + payload_len) % 4294967296 end as ending from packets where proto = 'tcp')) where ending <= before",
 )
-_over_packets("run_summary", lambda p: stats.run_summary(p, field("ip.addr") == "10.0.0.0/28"), "select count(*) as packets, count_if(hit)::bigint as matched, count_if(not hit)::bigint as filtered_out, sum(frame_len)::bigint as bytes, coalesce(sum(frame_len) filter (hit), 0)::bigint as matched_bytes, count_if(truncated)::bigint as truncated from (select *, coalesce(src_ip_key between '040a000000' and '040a00000f', false) or coalesce(dst_ip_key between '040a000000' and '040a00000f', false) as hit from packets)")
+_over_packets("run_summary", lambda p: stats.run_summary(p, field("ip.addr") == "10.0.0.0/28"), "select count(*) as packets, count_if(hit)::bigint as matched, count_if(not hit)::bigint as filtered_out, sum(frame_len)::bigint as bytes, coalesce(sum(frame_len) filter (hit), 0)::bigint as matched_bytes, count_if(truncated)::bigint as truncated, null::bigint as decode_errors from (select *, coalesce(src_ip_key between '040a000000' and '040a00000f', false) or coalesce(dst_ip_key between '040a000000' and '040a00000f', false) as hit from packets)")
 _over_packets("captures_union", lambda p: stats.protocol_breakdown(stats.merge(p.where("number % 3 = 0"), p.where("number % 3 > 0"))), _BREAKDOWN.format(where=""))
 _over_packets("tcp_flag_text", lambda p: p.where("proto = 'tcp'").groupBy(P.flags_text().alias("flags")).agg(F.count(F.lit(1)).alias("packets")), "select case tcp_flags when 0 then 'none' when 2 then 'SYN' when 18 then 'SYN,ACK' when 16 then 'ACK' when 24 then 'PSH,ACK' when 17 then 'FIN,ACK' when 4 then 'RST' end as flags, count(*) as packets from packets where proto = 'tcp' group by 1")
 
