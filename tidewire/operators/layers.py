@@ -30,13 +30,17 @@ def _line(condition: Column, *parts: Column | str) -> Column:
     return F.when(condition, text(*parts))
 
 
-def _ether_type(code: Column) -> Column:
+def ether_type(code: Column) -> Column:
     return text(F.coalesce(named(code, ETHER_TYPES, None), F.lit("Unknown")), " (0x", hex_text(code, 4), ")")
 
 
+def vendor_of(mac: Column) -> Column:
+    """Vendor of a MAC address, NULL if its prefix is not in the table."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in VENDORS for x in pair]), F.substring(mac, 1, 8))
+
+
 def _vendor(mac: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in VENDORS for x in pair])
-    found = F.try_element_at(table, F.substring(mac, 1, 8))
+    found = vendor_of(mac)
     return F.when(found.isNotNull(), text(" (", found, ")")).otherwise("")
 
 
@@ -56,14 +60,18 @@ def _options(options: Column) -> Column:
     return F.transform(options, lambda o: text("Option: ", o["name"], _if(o["value"] != "", " = ", o["value"])))
 
 
+def utc_time() -> Column:
+    """The time of a packet as text."""
+    return F.date_format(F.expr("timestampadd(MICROSECOND, ts_us, TIMESTAMP_NTZ'1970-01-01 00:00:00')"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
 def _frame() -> Column:
     c = F.col
-    time = F.date_format(F.expr("timestampadd(MICROSECOND, ts_us, TIMESTAMP_NTZ'1970-01-01 00:00:00')"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return _block(
         F.lit(True),
         text("Frame ", c("number"), ": ", F.octet_length("frame"), " bytes", _if(c("orig_len") != c("cap_len"), " (on wire: ", c("orig_len"), ")")),
         F.array(
-            text("Arrival time: ", time),
+            text("Arrival time: ", utc_time()),
             _line(F.coalesce(c("interface"), F.lit("")) != "", "Interface: ", c("interface")),
             text("Link type: ", N.link_name(c("link_type"))),
             text("Protocols: ", F.array_join("layers", ":")),
@@ -78,10 +86,10 @@ def _frame() -> Column:
 def _link() -> list[Column]:
     s, e = F.col("sll"), F.col("eth")
     address = lambda side: text(e[side], _vendor(e[side]))
-    tags = F.transform("vlans", lambda v: F.array(text("802.1Q VLAN tag, ID: ", v["id"], ", PRI: ", v["priority"]), text("  Inner EtherType: ", _ether_type(v["inner_type"]))))
+    tags = F.transform("vlans", lambda v: F.array(text("802.1Q VLAN tag, ID: ", v["id"], ", PRI: ", v["priority"]), text("  Inner EtherType: ", ether_type(v["inner_type"]))))
     return [
-        _block(s.isNotNull(), F.lit("Linux cooked capture v1"), F.array(text("Packet type: ", s["packet_type"]), text("ARPHRD: ", s["hardware_type"]), text("EtherType: ", _ether_type(s["ether_type"])))),
-        _block(e.isNotNull(), text("Ethernet II, Src: ", e["src"], ", Dst: ", e["dst"]), F.array(text("Destination: ", address("dst")), text("Source: ", address("src")), text("Type: ", _ether_type(e["ether_type"])))),
+        _block(s.isNotNull(), F.lit("Linux cooked capture v1"), F.array(text("Packet type: ", s["packet_type"]), text("ARPHRD: ", s["hardware_type"]), text("EtherType: ", ether_type(s["ether_type"])))),
+        _block(e.isNotNull(), text("Ethernet II, Src: ", e["src"], ", Dst: ", e["dst"]), F.array(text("Destination: ", address("dst")), text("Source: ", address("src")), text("Type: ", ether_type(e["ether_type"])))),
         F.flatten(F.coalesce(tags, F.array().cast("array<array<string>>"))),
     ]
 
@@ -97,7 +105,7 @@ def _network() -> list[Column]:
             text("Address Resolution Protocol (", operation, ")"),
             F.array(
                 text("Hardware type: ", a["hardware_type"], " (Ethernet)"),
-                text("Protocol type: ", _ether_type(a["protocol_type"])),
+                text("Protocol type: ", ether_type(a["protocol_type"])),
                 text("Opcode: ", a["opcode"], " (", operation, ")"),
                 text("Sender MAC: ", a["sender_mac"], _vendor(a["sender_mac"])),
                 text("Sender IP: ", a["sender_ip"]["text"]),

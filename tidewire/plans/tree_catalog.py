@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.decode.frames import decode
+from tidewire.operators.documents import documents
 from tidewire.operators.layers import tree_lines
 from tidewire.plans.bridge import PACKETS_CTE
 from tidewire.plans.frames import frames
@@ -142,3 +143,45 @@ _SECTIONS = (
 QUERIES["packet_tree"] = _tree
 ORACLES["packet_tree"] = f"""{PACKETS_CTE}, sized as ({_SIZED}), listed as (select number, list_filter(flatten([{", ".join(_SECTIONS)}]), lambda x: x is not null) as lines from sized)
   select number, (unnest(range(1, len(lines) + 1)) - 1)::int as position, unnest(lines) as line from listed"""
+
+
+#: Paths into a packet's document, the type of their value, and the SQL of the same.
+_PATHS: tuple[tuple[str, str, str, str], ...] = (
+    ("length", "$.length", "bigint", _SIZE),
+    ("original", "$.original_length", "bigint", f"{_SIZE} + case when truncated then 10 else 0 end"),
+    ("protocols", "$.protocols", "string", _STACK),
+    ("info", "$.info", "string", "info"),
+    ("src", "$.src", "string", "case when kind = 'arp' then src_mac when proto in ('tcp', 'udp') then src_ip || ':' || src_port else src_ip end"),
+    ("dst", "$.dst", "string", "case when kind = 'arp' then arp_target_ip when proto in ('tcp', 'udp') then dst_ip || ':' || dst_port else dst_ip end"),
+    ("flow_key", "$.flow_key", "string", "case when kind = 'arp' then 'arp:' || arp_sender_ip || ':' || arp_target_ip else case proto when 'tcp' then '6:' when 'udp' then '17:' else case when ip_version = 6 then '58:' else '1:' end end || case when (src_ip_key, src_port) < (dst_ip_key, dst_port) then src_ip || ':' || src_port || ':' || dst_ip || ':' || dst_port else dst_ip || ':' || dst_port || ':' || src_ip || ':' || src_port end end"),
+    ("vendor", "$.ethernet.src_vendor", "string", "case when src_mac like '00:50:56:%' then 'VMware' end"),
+    ("vlan", "$.vlans[0].id", "bigint", "vlan_id"),
+    ("operation", "$.arp.operation", "string", "case arp_opcode when 1 then 'request' when 2 then 'reply' end"),
+    ("total_length", "$.ip.total_length", "bigint", "case when ip_version = 4 then 20 + head + body end"),
+    ("ip_valid", "$.ip.checksum_valid", "boolean", "case when ip_version = 4 then ip_checksum_ok end"),
+    ("hop_limit", "$.ipv6.hop_limit", "bigint", "case when ip_version = 6 then ttl end"),
+    ("flags", "$.tcp.flags", "string", f"case when proto = 'tcp' then {_FLAGS} end"),
+    ("scale", "$.tcp.options[2].value", "bigint", "case when proto = 'tcp' and tcp_flags = 2 then number % 10 end"),
+    ("udp_valid", "$.udp.checksum_valid", "boolean", "case when proto = 'udp' then l4_checksum_ok end"),
+    ("icmp_id", "$.icmp.id", "bigint", "case when kind = 'icmp' and icmp_type <> 3 then number % 65536 end"),
+    ("icmp_text", "$.icmp.description", "string", f"case when kind = 'icmp' then {_ICMP} end"),
+    ("rcode", "$.dns.rcode_name", "string", "dns_rcode"),
+    ("available", "$.dns.recursion_available", "boolean", "case when kind = 'dns' then dns_response end"),
+    ("question", "$.dns.questions[0].type", "string", "dns_record"),
+    ("answer", "$.dns.answers[0].data", "string", "dns_answer"),
+    ("method", "$.http.method", "string", "http_method"),
+    ("status_text", "$.http.status_text", "string", "http_reason"),
+    ("second_header", "$.http.headers[1].name", "string", "case when kind = 'http' then case when http_method is not null then 'User-Agent' else 'Content-Length' end end"),
+    ("sni", "$.tls.sni", "string", "tls_sni"),
+    ("suite", "$.tls.cipher_suites[1]", "string", "case when tls_sni <> '' then 'TLS_AES_256_GCM_SHA384' end"),
+    ("payload", "$.payload_length", "bigint", "body"),
+)
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = documents(decode(frames(spark, sf_dir)))
+    return made.select("number", *[F.get_json_object("json", path).cast(kind).alias(name) for name, path, kind, _ in _PATHS])
+
+
+QUERIES["packet_documents"] = _documents
+ORACLES["packet_documents"] = f"{PACKETS_CTE}, sized as ({_SIZED}) select number, " + ", ".join(f"({sql}){'::bigint' if kind == 'bigint' else ''} as {name}" for name, _, kind, sql in _PATHS) + " from sized"
