@@ -48,10 +48,11 @@ def _dns_payload() -> Column:
     nth = lambda k: F.get(word, F.lit(k))
     under = lambda value: F.concat(_counted(F.substring_index(value, ".", 1)), _fixed("c00c"))
     octets = F.unhex(F.array_join(F.transform(F.split(said, r"\."), lambda x: F.lpad(F.hex(x.try_cast("long")), 2, "0")), ""))
-    group = F.lpad(F.upper(F.substring_index(said, "::", -1)), 4, "0")
+    # the host number may be larger than one group holds
+    host = F.lpad(F.upper(F.substring_index(said, "::", -1)), 8, "0")
     data = (
         F.when(record == "A", octets)
-        .when(record == "AAAA", F.unhex(F.concat(F.lit("20010db8005300000000000000000000"[:28]), group)))
+        .when(record == "AAAA", F.unhex(F.concat(F.lit("20010db8005300000000000000000000"[:24]), host)))
         .when(record == "MX", F.concat(_be(nth(0).try_cast("int"), 2), under(nth(1))))
         .when(record == "TXT", F.concat(_counted(nth(0)), _counted(nth(1))))
         .when(record == "CNAME", under(said))
