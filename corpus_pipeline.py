@@ -21,6 +21,8 @@ from tidewire.llm import decontaminate, entry, neardup, packing, secretscan, tox
 from tidewire.llm.common import shared_dir, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Distinct words whose ids a packing worker keeps: workers stay for all stages, and an idle one gives nothing back.
+REMEMBERED = 150_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept document, tokenised and packed into sequences."""
     small_batches(spark)
-    return packing.digest(packing.pack(docs, entry.tokenizer_path()))
+    return packing.digest(packing.pack(docs, entry.tokenizer_path(), remembered=REMEMBERED))
 
 
 STAGES = [

@@ -44,6 +44,8 @@ COMMON = "\\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac"
 LETTERS, DIGITS, BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \\t\\n\\r\\f\\v\x85\xa0"
 #: Fixed value: the split pattern of the byte-level BPE vocabulary, for common characters.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{BLANKS}{LETTERS}{DIGITS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
+#: The same for texts of ASCII alone, whose classes are small and tried in the order of how often they occur.
+ASCII_PATTERN = r" ?[A-Za-z]+|'(?:s|t|re|ve|m|ll|d)| ?[^ \t\n\r\f\vA-Za-z0-9]+| ?[0-9]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+"
 
 PIECE = T.StructType(
     [
@@ -116,7 +118,7 @@ class Encoder:
         splits_alike = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} | {k: v for k, v in spec["pre_tokenizer"].items() if k == "trim_offsets"}
         uncommon = [f"[^{COMMON}]", *map(re.escape, special)] if splits_alike else [""]
         self.special = special if splits_alike else [""]
-        self.uncommon, self.word = re.compile("|".join(uncommon)), re.compile(PATTERN)
+        self.uncommon, self.word, self.ascii_word = re.compile("|".join(uncommon)), re.compile(PATTERN), re.compile(ASCII_PATTERN)
         self.exact = Tokenizer.from_file(path)
         self.line = self.exact.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, list[int]] = {}
@@ -140,15 +142,31 @@ class Encoder:
         """Whether a text has common characters only and no special token's string."""
         return not any(s in text for s in self.special) if text.isascii() else self.uncommon.search(text) is None
 
+    def _split(self, text: str) -> list[str] | None:
+        """Words of a text, or None where it must be encoded as it is."""
+        if not self._plain(text):
+            return None
+        return (self.ascii_word if text.isascii() else self.word).findall(text)
+
+    def _joined(self, words: list[str]) -> bytes | None:
+        """Ids of words, None if one of them is new."""
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            return None
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.word.findall(t) if self._plain(t) else None for t in texts]
-        distinct = set(itertools.chain.from_iterable(w for w in split if w))
-        if len(self.known) + len(distinct) > self.remembered:
-            self.known.clear()
-        if new := distinct.difference(self.known):
-            self._learn(new)
-        ids = self.known.__getitem__
-        return [np.array(self.exact.encode(t, add_special_tokens=False).ids, dtype=np.uint32) if w is None else np.frombuffer(b"".join(map(ids, w)), dtype=np.uint32) for t, w in zip(texts, split)]
+        split = [self._split(t) for t in texts]
+        found = [None if w is None else self._joined(w) for w in split]
+        late = [k for k, (w, raw) in enumerate(zip(split, found)) if w is not None and raw is None]
+        if late:
+            distinct = set(itertools.chain.from_iterable(split[k] for k in late))
+            if len(self.known) + len(distinct) > self.remembered:
+                self.known.clear()
+            self._learn(distinct.difference(self.known))
+            for k in late:
+                found[k] = self._joined(split[k])
+        return [np.array(self.exact.encode(t, add_special_tokens=False).ids, dtype=np.uint32) if raw is None else np.frombuffer(raw, dtype=np.uint32) for t, raw in zip(texts, found)]
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -160,7 +178,7 @@ def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     return _ENCODERS[path, remembered]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, most_open: int = OPEN_SEQUENCES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, most_open: int = OPEN_SEQUENCES, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: its ids (little-endian unsigned 32-bit) and its place in a sequence."""
     names = [f.name for f in PIECE]
 
@@ -168,7 +186,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, most_open:
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 36
         bins = BestFit(size, most_open)
-        tokens = encoder(tokenizer_path)
+        tokens = encoder(tokenizer_path, remembered)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             encoded = tokens.encode(["" if t is None else t for t in batch.column("text").to_pylist()])
