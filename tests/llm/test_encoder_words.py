@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from tidewire.llm import entry, packing
@@ -27,3 +28,15 @@ def test_pipeline_workers_remember_fewer_words(spark, monkeypatch):
     monkeypatch.setattr(packing, "digest", lambda pieces: pieces)
     corpus_pipeline.pack_sequences(spark, None, "")
     assert seen == [{"remembered": corpus_pipeline.REMEMBERED}] and corpus_pipeline.REMEMBERED < packing.REMEMBERED
+
+
+def test_lean_packing_splits_few_texts_at_a_time_and_forgets(monkeypatch):
+    texts = [f"text {k} of common words, it's {k * 7} long" if k % 5 else None for k in range(250)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(250), pa.int64()), "text": pa.array(texts, pa.string())})
+    path, many = entry.tokenizer_path(), []
+    encode = packing.Encoder.encode
+    monkeypatch.setattr(packing.Encoder, "encode", lambda self, texts: many.append(len(texts)) or encode(self, texts))
+    few, usual = (pa.Table.from_batches(list(packing.packer(path, remembered=n)([batch]))) for n in (corpus_pipeline.REMEMBERED, packing.REMEMBERED))
+    assert few.equals(usual)
+    assert many == [100, 100, 50, 250]
+    assert not packing.encoder(path, corpus_pipeline.REMEMBERED).known and packing.encoder(path).known

@@ -22,7 +22,7 @@ from __future__ import annotations
 import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.common import ids_and_texts
+from tidewire.llm.common import give_back, ids_and_texts
 
 SEQUENCE = 2048
 END_ID = 0
 OPEN_SEQUENCES = 2048
 #: Distinct words whose ids a worker remembers, some 200 bytes each.
 REMEMBERED = 600_000
+#: Texts that are split at a time by a worker that is to remember less than that.
+FEW_TEXTS = 100
 _LINES = 200
 #: Characters whose class no Unicode version changes, and the letters, digits and blanks among them.
 COMMON = "\\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac"
@@ -179,8 +181,17 @@ def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, most_open: int = OPEN_SEQUENCES, remembered: int = REMEMBERED) -> DataFrame:
-    """One row per piece: its ids (little-endian unsigned 32-bit) and its place in a sequence."""
-    names = [f.name for f in PIECE]
+    """One row per piece: its ids (little-endian unsigned 32-bit) and its place in a sequence.
+
+    With less to remember than usual, few texts are split at a time and a worker forgets its
+    words when its task ends: slower, for jobs whose workers go on with other work.
+    """
+    return ids_and_texts(docs).mapInArrow(packer(tokenizer_path, size, most_open, remembered), PIECE)
+
+
+def packer(tokenizer_path: str, size: int = SEQUENCE, most_open: int = OPEN_SEQUENCES, remembered: int = REMEMBERED) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What packs the batches of one task."""
+    names, lean = [f.name for f in PIECE], remembered < REMEMBERED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -189,7 +200,9 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, most_open:
         tokens = encoder(tokenizer_path, remembered)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            encoded = tokens.encode(["" if t is None else t for t in batch.column("text").to_pylist()])
+            texts = batch.column("text")
+            step = FEW_TEXTS if lean else max(1, len(texts))
+            encoded = itertools.chain.from_iterable(tokens.encode(["" if t is None else t for t in texts.slice(lo, step).to_pylist()]) for lo in range(0, len(texts), step))
             rows = []
             for doc_id, ids in zip(doc_ids, encoded):
                 whole = np.append(ids, END_ID).astype("<u4")
@@ -199,8 +212,11 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, most_open:
             if rows:
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        if lean:
+            tokens.known.clear()
+            give_back()
 
-    return ids_and_texts(docs).mapInArrow(run, PIECE)
+    return run
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.common import boxed, checkpointed, crc_mod5, ids_and_texts, map_batches
+from tidewire.llm.common import boxed, checkpointed, crc_mod5, give_back, ids_and_texts, map_batches
 from tidewire.llm.textbatch import _POWERS, ALNUM, Words, mix, word_chunks
 
 WINDOW, STRIDE = 48, 24
@@ -258,7 +258,10 @@ def _grid(feats: Features, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray
 
 @dataclass
 class _Evidence:
-    """How much more often toxic texts hold each distinct word and each bucket of n-grams, and how many texts do."""
+    """How much more often toxic texts hold each distinct word and each bucket of n-grams, and how many texts do.
+
+    The n-grams of a word must lie together.
+    """
 
     word: np.ndarray
     word_texts: np.ndarray
@@ -282,9 +285,7 @@ class _Evidence:
         by_word = held(owners, feats.index, feats.n)
         text_word = np.unique(owners * feats.n + feats.index)
         text_of, word_of = text_word // feats.n, text_word % feats.n
-        order = np.argsort(feats.owner, kind="stable")
-        own, gram = feats.owner[order], feats.gram[order]
-        first = np.searchsorted(own, np.arange(feats.n + 1))
+        gram, first = feats.gram, np.searchsorted(feats.owner, np.arange(feats.n + 1))
         by_gram = np.zeros((2, GRAM_BUCKETS))
         for lo in range(0, len(toxic), 50):  # n-grams of so many texts at a time
             a, b = np.searchsorted(text_of, [lo, lo + 50])
@@ -341,6 +342,11 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 7)
         return net
     rng = np.random.default_rng(seed)
     words, feats = _corpus(texts)
+    # by distinct word, in the order that each word's n-grams had; later steps take them as they are
+    order = np.argsort(feats.owner, kind="stable")
+    feats.owner, feats.gram = feats.owner[order], feats.gram[order]
+    del order
+    give_back()
     text, at, size = windows(words.counts, words.first)
     first = np.searchsorted(text, np.arange(len(texts) + 1))
     evidence = _Evidence.of(words, feats, y)
@@ -348,12 +354,13 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 7)
     word_learns, gram_learns = evidence.plant(net, feats)
     strength = np.array([clue[a : a + n].max(initial=0) for a, n in zip(at, size)])
     adam = _Adam(net.p, RATE)
-    order = np.argsort(feats.owner, kind="stable")
-    own, gram = feats.owner[order], feats.gram[order]
-    begin = np.searchsorted(own, np.arange(feats.n + 1))
+    gram, begin = feats.gram, np.searchsorted(feats.owner, np.arange(feats.n + 1))
+    del clue, evidence
+    give_back()
     for epoch in range(epochs):
         if epoch >= 3 and epoch % 2:
             strength = net.window_logits(feats, at, size).astype(float)
+            give_back()
         by_strength = np.lexsort((-strength, text))
         chosen = by_strength[first[:-1]]
         clean = np.flatnonzero(y == 0)
@@ -443,8 +450,10 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     sample = rows.join(F.broadcast(fitting), "doc_id").select("doc_id", "text", "toxic")
 
     def learn(table: pa.Table) -> pa.Table:
+        give_back()  # of what this worker did before
         found = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))))
         net = fit([t for _, t, _ in found], [int(y) for _, _, y in found])
+        give_back()
         return pa.table([pa.array([zlib.compress(pickle.dumps(net.p), 1)], pa.binary())], names=["model"])
 
     # the sample is small and bounded: one task fits the network, and only its parameters come back
