@@ -4,6 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Frames of one Arrow batch at most, so that a worker's memory follows neither the frames nor Spark's default of 10,000.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most ``BATCH_ROWS`` rows go to a Python worker at once; a smaller number that is set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
 
 def read_once(function):
     """A function that Spark must not evaluate a second time for a filter that it pushes below."""

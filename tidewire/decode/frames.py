@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewire.decode import application as app
 from tidewire.decode import info
+from tidewire.decode.batch import small_batches
 from tidewire.decode.binary import address, built_once, mac, part, small, uint
 from tidewire.decode.layout import ARP, ETHERNET, IPV4, IPV6, KNOWN, REASONS, SLL, SLL2, layout
 from tidewire.functions import names as N
@@ -259,6 +260,7 @@ def decode(frames: DataFrame) -> DataFrame:
     ``reason`` says where a malformed frame breaks off, ``info`` what a frame says in one line.
     Every frame is read once, so filters on raw columns belong before this and not behind it.
     """
+    small_batches(frames.sparkSession)
     out = frames.select("*", layout(F.col("frame"), F.col("link_type")).alias("_h"))
     for step in (_headers, _candidates, _walked, _kind, _applications, _summary, _line):
         out = out.select("*", *[c.alias(n) for n, c in step().items()])
