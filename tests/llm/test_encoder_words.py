@@ -40,3 +40,29 @@ def test_lean_packing_splits_few_texts_at_a_time_and_forgets(monkeypatch):
     assert few.equals(usual)
     assert many == [100, 100, 50, 250]
     assert not packing.encoder(path, corpus_pipeline.REMEMBERED).known and packing.encoder(path).known
+
+
+def test_wide_pattern_splits_alike():
+    assert all(re.findall(packing.WORD_PATTERN, t) == re.findall(packing.PATTERN, t) for t in [*ODD, "É’été ñ ǅ's ²³\xa0\xa0x \x85 …€ 12é"])
+
+
+def test_words_of_several_batches_are_kept_when_room_is_made():
+    made = packing.Encoder(entry.tokenizer_path(), remembered=60)
+    learned = []
+    learn = made._learn
+    made._learn = lambda words: learned.append(set(words)) or learn(words)
+    for k in range(12):
+        texts = ["the common words occur always " + " ".join(f"w{chr(97 + k)}{chr(97 + n)}" for n in range(8))]
+        assert [ids.tolist() for ids in made.encode(texts)] == [made.exact.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(made.known) <= 60
+    assert sum(" always" in words for words in learned) == 1
+    made.forget()
+    assert not made.known and not made.again
+
+
+def test_every_byte_of_a_word_is_encoded():
+    made = packing.Encoder(entry.tokenizer_path())
+    texts = ["".join(map(chr, range(0x250))), *(f"x{chr(c)} {chr(c)}{chr(c)}" for c in range(0x250)), "\n", "\n\n\n a"]
+    wanted = [made.exact.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in made.encode(texts)] == wanted
+    assert all(made._split(t) is not None for t in texts)

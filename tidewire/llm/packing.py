@@ -8,8 +8,9 @@ partition that opened it, and what is left open at its end is at most ``OPEN_SEQ
 
 The ids are those of ``tokenizers`` for the vocabulary file.  A byte-level vocabulary is
 applied to the words of its split pattern one by one, so a text of common characters is
-split here and each distinct word is encoded by ``tokenizers`` once and remembered; texts
-with other characters or with a special token's string are given to it as they are.
+split here and each distinct word is encoded by the model of ``tokenizers`` once and
+remembered; texts with other characters or with a special token's string are given to it as
+they are.  Where words get too many, those are kept that texts with new words had again.
 
 Edge cases: a null or empty text is the end id alone; a document longer than a sequence is
 cut into full pieces after a shorter first one; repeated rows are packed each; an empty
@@ -40,12 +41,15 @@ OPEN_SEQUENCES = 2048
 REMEMBERED = 600_000
 #: Texts that are split at a time by a worker that is to remember less than that.
 FEW_TEXTS = 100
-_LINES = 200
+#: Words that are encoded as one text, such texts at once, and the byte between words, which UTF-8 never has.
+_TOGETHER, _AT_ONCE, _BETWEEN = 200, 50, 0xFF
 #: Characters whose class no Unicode version changes, and the letters, digits and blanks among them.
 COMMON = "\\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac"
 LETTERS, DIGITS, BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \\t\\n\\r\\f\\v\x85\xa0"
 #: Fixed value: the split pattern of the byte-level BPE vocabulary, for common characters.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{BLANKS}{LETTERS}{DIGITS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
+#: The same words, with what occurs most tried first.
+WORD_PATTERN = rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{BLANKS}{LETTERS}{DIGITS}]+| ?[{DIGITS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
 #: The same for texts of ASCII alone, whose classes are small and tried in the order of how often they occur.
 ASCII_PATTERN = r" ?[A-Za-z]+|'(?:s|t|re|ve|m|ll|d)| ?[^ \t\n\r\f\vA-Za-z0-9]+| ?[0-9]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+"
 
@@ -107,42 +111,60 @@ def cut(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(s, size) for s in range(head, n, size)]
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary; a blank for the byte between words."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)} | {_BETWEEN: " "}
+
+
 class Encoder:
     """Token ids of texts, as numpy arrays."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.remembered = remembered
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = [t["content"] for t in spec.get("added_tokens", [])]
         splits_alike = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} | {k: v for k, v in spec["pre_tokenizer"].items() if k == "trim_offsets"}
-        uncommon = [f"[^{COMMON}]", *map(re.escape, special)] if splits_alike else [""]
         self.special = special if splits_alike else [""]
-        self.uncommon, self.word, self.ascii_word = re.compile("|".join(uncommon)), re.compile(PATTERN), re.compile(ASCII_PATTERN)
+        self.uncommon, self.word, self.ascii_word = re.compile(f"[^{COMMON}]"), re.compile(WORD_PATTERN), re.compile(ASCII_PATTERN)
         self.exact = Tokenizer.from_file(path)
-        self.line = self.exact.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, list[int]] = {}
+        # the same model, for words that are split and written in the vocabulary's characters already
+        self.words = Tokenizer(self.exact.model)
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.characters = _byte_characters()
+        self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
     def _learn(self, words: set[str]) -> None:
-        """Ids of new words: many at once as lines of a text where a line break cannot join a word, else one by one."""
-        if len(self.line) == 1:
-            lines = [w for w in words if "\n" not in w and not w.isspace()]
-            groups = [lines[i : i + _LINES] for i in range(0, len(lines), _LINES)]
-            for group, found in zip(groups, self.exact.encode_batch_fast(["\n".join(["", *g]) for g in groups], add_special_tokens=False)):
-                ids = np.array(found.ids, dtype=np.uint32)
-                # byte offsets of the line breaks and the end
-                ends = (4 * np.flatnonzero(ids == self.line[0])).tolist()
-                if len(ends) == len(group):
-                    raw = ids.tobytes()
-                    self.known.update(zip(group, [raw[a + 4 : b] for a, b in zip(ends, [*ends[1:], len(raw)])]))
-        rest = [w for w in words if w not in self.known]
-        self.known.update((w, np.array(e.ids, dtype=np.uint32).tobytes()) for w, e in zip(rest, self.exact.encode_batch_fast(rest, add_special_tokens=False)))
+        """Ids of new words, many at once."""
+        between = bytes([_BETWEEN])
+        for batch in itertools.batched(itertools.batched(words, _TOGETHER), _AT_ONCE):
+            written = [between.join(map(str.encode, g)).decode("latin-1").translate(self.characters) for g in batch]
+            for group, found in zip(batch, self.words.encode_batch(written, add_special_tokens=False)):
+                raw, of = np.array(found.ids, dtype=np.uint32).tobytes(), np.array(found.word_ids)
+                # byte offsets of the words
+                at = (4 * np.searchsorted(of, np.arange(len(group) + 1))).tolist()
+                self.known.update(zip(group, [raw[a:b] for a, b in zip(at, at[1:])]))
+
+    def _make_room(self, words: set[str]) -> None:
+        """Before the words of texts with new words are learned: where they get too many, only those that came again stay, or none."""
+        if len(self.known) + len(words) <= self.remembered:
+            self.again.update(words.intersection(self.known))
+            return
+        keep = self.again if 2 * len(self.again) <= self.remembered else ()
+        self.known = {w: self.known[w] for w in keep}
+        self.again = set()
+
+    def forget(self) -> None:
+        self.known, self.again = {}, set()
 
     def _plain(self, text: str) -> bool:
         """Whether a text has common characters only and no special token's string."""
-        return not any(s in text for s in self.special) if text.isascii() else self.uncommon.search(text) is None
+        return not any(s in text for s in self.special) and (text.isascii() or self.uncommon.search(text) is None)
 
     def _split(self, text: str) -> list[str] | None:
         """Words of a text, or None where it must be encoded as it is."""
@@ -163,8 +185,7 @@ class Encoder:
         late = [k for k, (w, raw) in enumerate(zip(split, found)) if w is not None and raw is None]
         if late:
             distinct = set(itertools.chain.from_iterable(split[k] for k in late))
-            if len(self.known) + len(distinct) > self.remembered:
-                self.known.clear()
+            self._make_room(distinct)
             self._learn(distinct.difference(self.known))
             for k in late:
                 found[k] = self._joined(split[k])
@@ -213,7 +234,7 @@ def packer(tokenizer_path: str, size: int = SEQUENCE, most_open: int = OPEN_SEQU
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         if lean:
-            tokens.known.clear()
+            tokens.forget()
             give_back()
 
     return run
