@@ -22,3 +22,9 @@ def test_three_python_nodes_and_small_batches(spark, name):
         assert int(spark.conf.get(KEY)) == 500
     finally:
         spark.conf.set(KEY, before)
+
+
+@pytest.mark.parametrize("name", ["decode_arp"])
+def test_two_python_nodes_where_no_body_is_walked(spark, name):
+    df = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().executedPlan().toString().count("EvalPython") <= 2
