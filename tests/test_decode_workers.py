@@ -24,7 +24,7 @@ def test_three_python_nodes_and_small_batches(spark, name):
         spark.conf.set(KEY, before)
 
 
-@pytest.mark.parametrize("name", ["decode_arp"])
+@pytest.mark.parametrize("name", ["decode_arp", "decode_udp"])
 def test_two_python_nodes_where_no_body_is_walked(spark, name):
     df = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
     assert df._jdf.queryExecution().executedPlan().toString().count("EvalPython") <= 2
