@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.decode import certificates as X
 from tidewire.decode import der
+from tidewire.plans.certificates import ders
 
 
 def parsed(*ders):
@@ -61,3 +62,8 @@ def test_broken_der_gives_null():
 def test_times():
     assert X.time_text(0x17, b"491231235959Z") == "2049-12-31T23:59:59Z" and X.time_text(0x17, b"500101000000Z") == "1950-01-01T00:00:00Z"
     assert X.time_text(0x18, b"20600102030405Z") == "2060-01-02T03:04:05Z" and X.time_text(0x17, b"odd") == "odd"
+
+
+def test_certificates_of_a_small_file_are_made_in_many_tasks(spark):
+    df = ders(spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1

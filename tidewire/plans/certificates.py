@@ -42,8 +42,13 @@ def _extension(oid: str, critical: Column, *inner: Column) -> Column:
 
 
 def ders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """number and a DER certificate of every customer."""
-    df = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"))
+    """number and a DER certificate of every customer.
+
+    A few MB of keys make minutes of encoding and parsing, so the keys are dealt out: the
+    splits of a small file would be one task.
+    """
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"))
+    df = keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     k = F.col("k")
     part = lambda n: k % n
     txt = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
