@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewire.decode.batch import Bytes, numbers
+
 
 def built_once(build: Callable[[], dict[str, Column]]) -> Callable[[], dict[str, Column]]:
     """Columns by name, put together once for each JVM and not for each query."""
@@ -78,17 +80,11 @@ def ipv6_text(piece: Column) -> Column:
     return F.regexp_replace(out, ":::+", "::")
 
 
-@F.pandas_udf(T.LongType())
-def word_sum(data: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def word_sum(data: pa.Array) -> pa.Array:
     """Sum of the big-endian 16-bit words, an odd last byte counting as the high one: one pass over a batch."""
-    there = data.notna().to_numpy()
-    parts = [b if len(b) % 2 == 0 else bytes(b) + b"\0" for b in data[there]]
-    ends = np.cumsum([len(p) // 2 for p in parts], dtype=np.int64)
-    total = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, dtype=np.int64)
-    np.cumsum(np.frombuffer(b"".join(parts), dtype=">u2"), out=total[1:])
-    out = np.full(len(data), np.nan)
-    out[there] = total[ends] - total[np.concatenate([[0], ends[:-1]])] if len(ends) else []
-    return pd.Series(out).astype("Int64")
+    rows = Bytes(data)
+    return numbers(rows.word_sums(np.zeros(len(rows), dtype=np.int64), rows.size), pa.int64(), rows.given)
 
 
 def folded(total: Column) -> Column:

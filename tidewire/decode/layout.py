@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.decode.batch import Bytes, folded, listed, options, read_once
+from tidewire.decode.batch import Bytes, folded, integers, listed, numbers, options, read_once
 
 ETHERNET, PPP, RAW, SLL, IPV4_ONLY, IPV6_ONLY, SLL2 = 1, 9, (12, 101), 113, 228, 229, 276
 LOOPBACK = (0, 108)
@@ -230,10 +230,10 @@ class _Layout:
         arrays = []
         for name, kind in (*((n, pa.int32()) for n in _INTS), *((n, pa.int64()) for n in _LONGS), *((n, pa.bool_()) for n in _BOOLS)):
             values, where = self.columns[name]
-            arrays.append(pa.array(values.astype(kind.to_pandas_dtype()), kind, mask=~where))
+            arrays.append(numbers(values, kind, where))
         for found in (self.ip_options, self.tcp_options):
             rows, *columns = found
-            items = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in columns], fields=[pa.field(f.name, pa.int32(), False) for f in OPTION])
+            items = pa.StructArray.from_arrays([numbers(c, pa.int32()) for c in columns], fields=[pa.field(f.name, pa.int32(), False) for f in OPTION])
             arrays.append(listed(rows, self.n, items))
         return pa.StructArray.from_arrays(arrays, [f.name for f in LAYOUT])
 
@@ -241,4 +241,4 @@ class _Layout:
 @read_once
 @F.arrow_udf(LAYOUT)
 def layout(frames: pa.Array, link_types: pa.Array) -> pa.Array:
-    return _Layout(Bytes(frames), link_types.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)).struct()
+    return _Layout(Bytes(frames), integers(link_types, -1)).struct()
