@@ -1,6 +1,7 @@
 """Python workers that encode and decode frames do without pandas, and read Arrow buffers as Arrow does."""
 
 import os
+import re
 import subprocess
 import sys
 
@@ -9,7 +10,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import PythonEvalType
 
+import __spark_entry__
 from tidewire.decode.batch import Bytes, given, integers, numbers
 from tidewire.decode.binary import word_sum
 from tidewire.decode.layout import LAYOUT, layout
@@ -62,6 +65,14 @@ def test_a_slice_of_frames_is_laid_out_as_the_frames(first):
     some.validate(full=True)
 
 
+@pytest.mark.parametrize("name", ["decode_arp", "decode_udp"])
+def test_each_python_node_reads_arrow(spark, name):
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # Spark turns the batches of a pandas function into pandas before the function is asked
+    kinds = re.findall(r"ArrowEvalPython \[.*\], (\d+)", plan)
+    assert kinds and set(kinds) == {str(PythonEvalType.SQL_SCALAR_ARROW_UDF)}
+
+
 def test_sums_of_words(spark):
     rows = [(k, b) for k, b in enumerate([None, b"", b"\x01", b"\x01\x02", b"\x01\x02\x03", b"\xff" * 1499, *[bytes(range(k % 256)) for k in range(300)]])]
     made = spark.createDataFrame(rows, T.StructType([T.StructField("k", T.IntegerType()), T.StructField("b", T.BinaryType())])).select("k", word_sum(F.col("b")).alias("n")).orderBy("k").collect()
